@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 def sample_skewness(population_skew: Column, n: Column) -> Column:
     """Bias-corrected skewness G1 from g1; NULL below three values."""
-    return F.when(n > 2, population_skew * F.sqrt(n * (n - 1)) / (n - 2))
+    return F.when(n > 2, F.try_divide(population_skew * F.sqrt(n * (n - 1)), n - 2))
 
 
 def sample_kurtosis(population_excess: Column, n: Column) -> Column:
     """Bias-corrected excess kurtosis G2 from g2; NULL below four values."""
     return F.when(
-        n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * population_excess + 6)
+        n > 3, F.try_divide((n - 1) * ((n + 1) * population_excess + 6), (n - 2) * (n - 3))
     )
 
 

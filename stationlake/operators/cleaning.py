@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationlake.operators.aggregates import most_frequent
 from stationlake.operators.ordered import (
     BLOCK_ROWS,
     POS,
@@ -198,3 +199,15 @@ def fill_chain(
 def clean_row(df: DataFrame, columns: list[str]) -> DataFrame:
     """The stateless part of cleaning, valid for batch and streaming frames."""
     return null_out_of_range(null_sentinels(df, columns))
+
+
+def fill_mode(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """NULL text becomes the most frequent text of the station."""
+    modes = most_frequent(df, keys, columns).select(
+        *keys, *[F.col(c).alias(f"_mode_{c}") for c in columns]
+    )
+    return (
+        attach(df, modes, keys)
+        .withColumns({c: F.coalesce(c, f"_mode_{c}") for c in columns})
+        .drop(*[f"_mode_{c}" for c in columns])
+    )

@@ -50,7 +50,7 @@ def metric_columns(y: Column, f: Column) -> dict[str, Column]:
     return {
         "rmse": F.sqrt(F.avg(e * e)),
         "mae": F.avg(F.abs(e)),
-        "r2": F.when(spread > 0, 1 - sse / spread).otherwise(F.when(sse == 0, 1.0).otherwise(0.0)),
+        "r2": F.when(spread > 0, 1 - F.try_divide(sse, spread)).otherwise(F.when(sse == 0, 1.0).otherwise(0.0)),
         "mape": F.avg(F.abs(e) / F.greatest(F.abs(y), F.lit(EPSILON))) * 100,
     }
 
@@ -183,9 +183,9 @@ def residual_diagnostics(
         *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lags + 1)],
     )
     n = F.col("n")
-    correlations = [F.coalesce(F.col(f"_s{k}") / F.col("_ss"), F.lit(0.0)) for k in range(1, lags + 1)]
+    correlations = [F.coalesce(F.try_divide(F.col(f"_s{k}"), F.col("_ss")), F.lit(0.0)) for k in range(1, lags + 1)]
     box = n * (n + 2) * reduce(
-        lambda a, b: a + b, [r * r / (n - k) for k, r in enumerate(correlations, 1)]
+        lambda a, b: a + b, [F.coalesce(F.try_divide(r * r, n - k), F.lit(0.0)) for k, r in enumerate(correlations, 1)]
     )
     return attach(centre, sums, keys).select(
         *keys,
@@ -198,7 +198,7 @@ def residual_diagnostics(
 
 def ensemble_weights(metrics: DataFrame) -> DataFrame:
     """Weights proportional to 1/RMSE that sum to one."""
-    inverse = metrics.select("model", (1 / F.col("rmse")).alias("_inverse"))
+    inverse = metrics.select("model", (1 / F.greatest("rmse", F.lit(EPSILON))).alias("_inverse"))
     # one row per model
     total = inverse.agg(F.sum("_inverse").alias("_total"))
     return inverse.crossJoin(F.broadcast(total)).select(

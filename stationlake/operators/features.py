@@ -161,7 +161,9 @@ def minmax_scale(df: DataFrame, bounds: DataFrame, columns: list[str]) -> DataFr
     scaled = {}
     for c in columns:
         low, high = F.col(f"_min_{c}"), F.col(f"_max_{c}")
-        scaled[c] = F.when(high == low, F.col(c) * 0.0).otherwise((F.col(c) - low) / (high - low))
+        scaled[c] = F.when(high == low, F.col(c) * 0.0).otherwise(
+            F.try_divide(F.col(c) - low, high - low)
+        )
     return _drop_bounds(df.crossJoin(F.broadcast(bounds)).withColumns(scaled), columns)
 
 
@@ -180,7 +182,9 @@ def group_scale(df: DataFrame, keys: list[str], column: str) -> DataFrame:
         F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_std")
     )
     spread = F.col("_std")
-    scaled = F.when(spread > 0, (F.col(column) - F.col("_mean")) / spread).when(
+    scaled = F.when(
+        spread > 0, F.try_divide(F.col(column) - F.col("_mean"), spread)
+    ).when(
         F.col(column).isNotNull(), F.lit(0.0)
     )
     return attach(df, stats, keys).withColumn(f"{column}_scaled", scaled).drop("_mean", "_std")
@@ -316,7 +320,8 @@ def rolling_stats(
     blocks = _power_sums(laid, keys, column, rows, block_rows)
     prefix = f"{column}_{rows}"
     blocks = rolling_extremes(blocks, column, rows, prefix)
-    n, s1, s2, s3, s4 = (F.col(f"_{k}") for k in ("n", "s1", "s2", "s3", "s4"))
+    n = F.nullif(F.col("_n"), F.lit(0.0))
+    s1, s2, s3, s4 = (F.col(f"_{k}") for k in ("s1", "s2", "s3", "s4"))
     mean = s1 / n
     m2 = F.greatest(s2 / n - mean * mean, F.lit(0.0))
     m3 = s3 / n - 3 * mean * s2 / n + 2 * mean * mean * mean
@@ -324,10 +329,10 @@ def rolling_stats(
     flat = m2 <= 1e-12
     stats = {
         f"{prefix}_mean": F.when(n > 0, F.col("_centre") + mean),
-        f"{prefix}_std": F.when(n > 1, F.sqrt(m2 * n / (n - 1))),
+        f"{prefix}_std": F.when(n > 1, F.sqrt(F.try_divide(m2 * n, n - 1))),
         f"{prefix}_range": F.col(f"{prefix}_max") - F.col(f"{prefix}_min"),
-        f"{prefix}_skew": F.when(~flat, sample_skewness(m3 / F.pow(m2, 1.5), n)),
-        f"{prefix}_kurt": F.when(~flat, sample_kurtosis(m4 / (m2 * m2) - 3, n)),
+        f"{prefix}_skew": F.when(~flat, sample_skewness(F.try_divide(m3, F.pow(m2, F.lit(1.5))), n)),
+        f"{prefix}_kurt": F.when(~flat, sample_kurtosis(F.try_divide(m4, m2 * m2) - 3, n)),
     }
     helpers = [f"_{t}{k}" for k in ("n", "s1", "s2", "s3", "s4") for t in ("", "t_")]
     return blocks.with_columns({k: F.when(n > 0, e) for k, e in stats.items()}).home().drop(
@@ -346,10 +351,13 @@ def rolling_zscore_outliers(
 ) -> DataFrame:
     """z-score in the trailing frame and a flag; flagged values become NULL."""
     blocks = _power_sums(laid, keys, column, rows, block_rows)
-    n, s1, s2 = F.col("_n"), F.col("_s1"), F.col("_s2")
+    n, s1, s2 = F.nullif(F.col("_n"), F.lit(0.0)), F.col("_s1"), F.col("_s2")
     mean = s1 / n
-    deviation = F.sqrt(F.greatest(s2 / n - mean * mean, F.lit(0.0)) * n / (n - 1))
-    score = F.when((n > 1) & (deviation > 1e-9), (F.col(column) - F.col("_centre") - mean) / deviation)
+    variance = F.try_divide(F.greatest(s2 / n - mean * mean, F.lit(0.0)) * n, n - 1)
+    deviation = F.sqrt(variance)
+    score = F.when(
+        deviation > 1e-9, F.try_divide(F.col(column) - F.col("_centre") - mean, deviation)
+    )
     helpers = [f"_{t}{k}" for k in ("n", "s1", "s2", "s3", "s4") for t in ("", "t_")]
     flagged = blocks.with_columns({"zscore": score}).home().drop("_centre", *helpers)
     is_outlier = F.coalesce(F.abs("zscore") > limit, F.lit(False))

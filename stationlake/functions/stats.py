@@ -20,6 +20,16 @@ def sample_kurtosis(population_excess: Column, n: Column) -> Column:
     )
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows with both values; NULL for a constant column.
+
+    Composed of aggregates because ``corr`` raises on a constant column in ANSI mode.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 1e-12, F.try_divide(F.covar_pop(a, b), spread))
+
+
 def jarque_bera(skew: Column, excess: Column, n: Column) -> Column:
     return n / 6 * (skew * skew + excess * excess / 4)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions.stats import (
+    correlation,
     jarque_bera,
     jarque_bera_p,
     normal_quantile,
@@ -289,7 +290,7 @@ def rank_importance(
     df: DataFrame, keys: list[str], features: list[str], target: str
 ) -> DataFrame:
     """Features by absolute correlation with the target, largest first."""
-    counted = df.groupBy(*keys).agg(*[F.abs(F.corr(f, target)).alias(f) for f in features])
+    counted = df.groupBy(*keys).agg(*[F.abs(correlation(F.col(f), F.col(target))).alias(f) for f in features])
     # one row per key and feature
     long = counted.select(
         *keys,

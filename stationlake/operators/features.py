@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.functions.stats import cyclic, sample_kurtosis, sample_skewness
+from stationlake.functions.stats import correlation, cyclic, sample_kurtosis, sample_skewness
 from stationlake.operators.ordered import (
     BLOCK,
     BLOCK_ROWS,
@@ -379,7 +379,7 @@ def column_screen(
     counted = df.agg(
         *[(F.count_if(F.col(c).isNull()) / F.count(F.lit(1))).alias(f"_missing_{c}") for c in columns],
         *[F.var_samp(c).alias(f"_var_{c}") for c in columns],
-        *[F.corr(a, b).alias(f"_corr_{a}__{b}") for a, b in pairs],
+        *[correlation(F.col(a), F.col(b)).alias(f"_corr_{a}__{b}") for a, b in pairs],
     )
     rows = []
     for i, c in enumerate(columns):

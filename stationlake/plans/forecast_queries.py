@@ -403,7 +403,7 @@ IMPORTANCE = ["humidity", "precip_mm", "hour", "day"]
 
 @query("rank_importance", CLEARED_SQL + f""",
 x AS (SELECT station, temp_c, humidity, precip_mm, CAST(hour(ts) AS DOUBLE) AS "hour", CAST(day(ts) AS DOUBLE) AS "day" FROM cleared),
-i AS ({' UNION ALL '.join(f'''SELECT station, '{f}' AS feature, coalesce(abs(corr("{f}", temp_c)), 0) AS importance FROM x GROUP BY 1''' for f in IMPORTANCE)})
+i AS ({' UNION ALL '.join(f'''SELECT station, '{f}' AS feature, coalesce(CASE WHEN NOT isnan(corr("{f}", temp_c)) THEN abs(corr("{f}", temp_c)) END, 0) AS importance FROM x GROUP BY 1''' for f in IMPORTANCE)})
  SELECT station, feature, {t('importance')} AS importance,
    row_number() OVER (PARTITION BY station ORDER BY round(importance, 9) DESC, feature) AS rank FROM i""")
 def rank_importance(spark, sf_dir):

@@ -41,7 +41,7 @@ def archive_lines(archives: DataFrame) -> DataFrame:
     Members are unpacked as a stream; only the packed archive is held in memory.
     The lines are spread again afterwards, since one archive is one task.
     """
-    lines = archives.select("path", "content").mapInPandas(_lines, LINE_SCHEMA).repartition()
+    lines = archives.select("path", "content").mapInPandas(_lines, LINE_SCHEMA).hint("rebalance")
     return lines.select(
         F.concat_ws("!", "archive", "member").alias("path"),
         F.regexp_extract(base_name(F.col("archive")), r"^([^.]*)", 1).try_cast("int").alias("year"),

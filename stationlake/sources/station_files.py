@@ -6,8 +6,6 @@ a whole file (preamble and header) becomes one row per file and is joined back.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +24,6 @@ PREAMBLE_KEYS = {
     "ALTITUDE": "altitude",
     "DATA DE FUNDACAO": "founded_year",
 }
-MAX_FIELDS = 64
 
 
 def read_station_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -38,14 +35,19 @@ def read_station_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def fields(line: Column) -> Column:
-    """Fields of a ``;`` line with ``"`` as quote, without the fields a short line lacks."""
-    schema = ", ".join(f"c{i} string" for i in range(MAX_FIELDS))
-    parsed = F.from_csv(line, F.lit(schema), {"sep": ";", "quote": '"', "nullValue": "\u0000"})
-    cells = F.array(*[parsed[f"c{i}"] for i in range(MAX_FIELDS)])
-    size = F.least(
-        F.lit(MAX_FIELDS), F.length(F.regexp_replace(line, r'"[^"]*"|[^;]', "")) + 1
+    """Fields of a ``;`` line; a field in ``"`` may hold ``;`` and doubled quotes."""
+    field = r'("(?:[^"]|"")*"|[^;]*)(?:;|$)'
+    separators = F.length(F.regexp_replace(line, r'"(?:[^"]|"")*"|[^;]', ""))
+    # past the last field the pattern matches once more, emptily
+    found = F.slice(F.regexp_extract_all(line, F.lit(field), 1), F.lit(1), separators + 1)
+    inner = F.transform(
+        found,
+        lambda c: F.when(
+            F.startswith(c, F.lit('"')),
+            F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
+        ).otherwise(c),
     )
-    return F.transform(F.slice(cells, F.lit(1), size), lambda c: F.coalesce(c, F.lit("")))
+    return F.when(F.contains(line, F.lit('"')), inner).otherwise(F.split(line, ";"))
 
 
 def repair_ragged(row: Column, size: Column) -> Column:
@@ -70,7 +72,8 @@ def line_kind(line: Column) -> Column:
 def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFrame:
     """Readings in canonical columns from ``(path, line)`` rows.
 
-    ``year`` is the year of the archive; without it the year of the file name counts.
+    ``year`` is the year of the archive; without it the year of the file name counts,
+    and where that has none, the year of the reading.
     Text that does not convert becomes NULL, a row of the wrong length is repaired.
     """
     tagged = lines.withColumn("kind", line_kind(F.col("line")))
@@ -93,8 +96,7 @@ def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFra
         "path",
         F.transform(fields(F.col("header")), header_key).alias("header"),
         *station_metadata(F.col("path")),
-        (F.col("year") if year is None and "year" in files.columns else
-         (year if year is not None else text.file_year(F.col("path")))).cast("int").alias("year"),
+        (text.file_year(F.col("path")) if year is None else year).cast("int").alias("_year"),
     )
     rows = attach(
         tagged.filter(F.col("kind") == "data").select("path", "line"), files, ["path"], "inner"
@@ -116,7 +118,7 @@ def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFra
         hour.alias("obs_hour"),
         *[text.number(text.decimal_comma(cell(m))).alias(m) for m in MEASURES],
         *PREAMBLE_KEYS.values(),
-        "year",
+        F.coalesce("_year", F.year(day)).alias("year"),
     ).withColumn("ts", text.reading_time(F.col("obs_date"), F.col("obs_hour")))
     return parsed.select("path", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in READING_TYPE])
 
@@ -190,7 +192,3 @@ def select_columns(df: DataFrame, names: list[str]) -> DataFrame:
 
 def drop_hour(df: DataFrame) -> DataFrame:
     return df.drop("obs_hour")
-
-
-def unite(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

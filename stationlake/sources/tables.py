@@ -17,7 +17,7 @@ def read_typed_csv(
     A gzip file is one task; the rows are spread again behind the scan.
     """
     rows = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE").csv(path)
-    return rows.repartition()
+    return rows.hint("rebalance")
 
 
 def write_csv_gz(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -45,19 +45,21 @@ def decimal_comma(c: Column) -> Column:
 
 def number(c: Column, to: str = "float") -> Column:
     """Number from text; text that is no finite number gives NULL."""
-    parsed = F.trim(c.cast("string")).try_cast(to)
+    parsed = F.nullif(F.trim(c.cast("string")), F.lit("")).try_cast(to)
     if to in ("float", "double"):
         return F.when(~F.isnan(parsed), parsed)
     return parsed
 
 
 def station_date(c: Column) -> Column:
-    """Date from ``yyyy/MM/dd`` or ``yyyy-MM-dd`` with an optional time after it."""
-    day = F.substring(F.trim(c), 1, 10)
-    return F.coalesce(
-        F.try_to_timestamp(day, F.lit("yyyy/MM/dd")),
-        F.try_to_timestamp(day, F.lit("yyyy-MM-dd")),
-    ).cast("date")
+    """Date from ``yyyy/MM/dd`` or ``yyyy-MM-dd`` with an optional time after it.
+
+    The pattern keeps the cast from failing by exception, which is slow per row.
+    """
+    day = F.regexp_extract(
+        F.trim(c), r"^(\d{4}/\d{1,2}/\d{1,2}|\d{4}-\d{1,2}-\d{1,2})(?:[ T].*)?$", 1
+    )
+    return F.translate(day, "/", "-").try_cast("date")
 
 
 def station_hour(c: Column) -> Column:
@@ -107,7 +109,8 @@ def file_name_part(path: Column, part: str) -> Column:
 
 def founded_year(value: Column, path: Column) -> Column:
     """Year of a ``dd/MM/yyyy`` date, else the first four digits of the file name."""
-    parsed = F.year(F.try_to_timestamp(F.trim(value), F.lit("dd/MM/yyyy")))
+    iso = F.regexp_replace(F.trim(value), r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1")
+    parsed = F.year(F.when(iso.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), iso.try_cast("date")))
     from_name = F.regexp_extract(base_name(path), r"\d{4}", 0).try_cast("int")
     return F.when(F.trim(value) != "", F.coalesce(parsed, from_name))
 

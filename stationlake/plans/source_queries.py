@@ -352,12 +352,14 @@ def parse_date(spark, sf_dir):
 HOUR_SQL = "CASE WHEN k < 80 OR (k < 90 AND hour(ts) >= 10) THEN CAST(hour(ts) AS BIGINT) END"
 
 
-@query("parse_hour", f"""WITH {RAW_SQL} SELECT event_id, {HOUR_SQL} AS obs_hour,
- CASE WHEN k < 90 THEN CAST(hour(ts) AS BIGINT) END AS padded_hour FROM raw""")
+@query("parse_hour", f"""WITH {RAW_SQL} SELECT event_id,
+ coalesce({HOUR_SQL}, -1) AS obs_hour, CASE WHEN k < 90 THEN CAST(hour(ts) AS BIGINT) ELSE -1 END AS padded_hour FROM raw""")
 def parse_hour(spark, sf_dir):
+    """An hour that does not parse is shown as -1."""
+    strict, padded = text.station_hour(F.col("hour_text")), text.short_hour(F.col("hour_text"))
     return raw_texts(spark, sf_dir).select(
-        "event_id", big(text.station_hour(F.col("hour_text"))).alias("obs_hour"),
-        big(text.short_hour(F.col("hour_text"))).alias("padded_hour"),
+        "event_id", F.coalesce(big(strict), F.lit(-1)).alias("obs_hour"),
+        F.coalesce(big(padded), F.lit(-1)).alias("padded_hour"),
     )
 
 
@@ -425,17 +427,17 @@ def parse_filename(spark, sf_dir):
     )
 
 
-@query("founded_year", """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN CAST(1990 + s_nationkey AS BIGINT)
+@query("founded_year", """SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN CAST(1990 + s_nationkey AS BIGINT)
  WHEN s_suppkey % 3 = 1 THEN CAST(CASE WHEN s_suppkey >= 1000 THEN CAST(left(CAST(s_suppkey AS VARCHAR), 4) AS BIGINT)
-   ELSE CAST(left(regexp_extract(s_name, '[0-9]{4,}'), 4) AS BIGINT) END AS BIGINT) END AS founded_year FROM supplier""")
+   ELSE CAST(left(regexp_extract(s_name, '[0-9]{4,}'), 4) AS BIGINT) END AS BIGINT) END, -1) AS founded_year FROM supplier""")
 def founded_year(spark, sf_dir):
-    """A date, text that is no date, or nothing, by supplier."""
+    """A date, text that is no date, or nothing (shown as -1), by supplier."""
     kind = F.col("s_suppkey") % 3
     value = F.when(kind == 0, F.concat(F.lit("07/05/"), (F.col("s_nationkey") + 1990).cast("string"))).when(
         kind == 1, "unknown"
     ).otherwise("")
     return _paths(spark, sf_dir).select(
-        "s_suppkey", big(text.founded_year(value, F.col("path"))).alias("founded_year")
+        "s_suppkey", F.coalesce(big(text.founded_year(value, F.col("path"))), F.lit(-1)).alias("founded_year")
     )
 
 

@@ -11,7 +11,8 @@ from stationlake.session import scratch_path
 from stationlake.streaming import aggregates as streaming
 
 CLEANED_SQL = CLEARED_SQL + """,
-c AS (SELECT * REPLACE (CASE WHEN temp_c BETWEEN -40 AND 50 THEN temp_c END AS temp_c) FROM cleared)"""
+c AS (SELECT * REPLACE (CASE WHEN temp_c BETWEEN -40 AND 50 THEN temp_c END AS temp_c,
+   CASE WHEN precip_mm BETWEEN 0 AND 500 THEN precip_mm END AS precip_mm) FROM cleared)"""
 
 
 def _source(spark, sf_dir):
@@ -68,7 +69,7 @@ def stream_hourly_aggregate(spark, sf_dir):
 
 
 @query("stream_clean", CLEANED_SQL + f""" SELECT reading_id, {t('temp_c')} AS temp_c,
- {t('CASE WHEN precip_mm BETWEEN 0 AND 500 THEN precip_mm END')} AS precip_mm FROM c""")
+ {t('precip_mm')} AS precip_mm FROM c""")
 def stream_clean(spark, sf_dir):
     cleaned = streaming.stream_clean(_source(spark, sf_dir), ["temp_c"])
     rows = _run(spark, cleaned.select("reading_id", "temp_c", "precip_mm"), "stream-clean")

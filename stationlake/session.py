@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a generated method beyond this is never compiled by the JVM; smaller stages run faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

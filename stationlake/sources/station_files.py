@@ -26,6 +26,9 @@ PREAMBLE_KEYS = {
 }
 
 
+FILE_COLUMNS = ["obs_date", "obs_hour", *MEASURES]
+
+
 def read_station_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, line)`` of every line below ``path``."""
     reader = spark.read.option("recursiveFileLookup", "true")
@@ -92,37 +95,55 @@ def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFra
             for k, name in PREAMBLE_KEYS.items()
         ],
     )
+    header = F.transform(fields(F.col("header")), header_key)
+    files = files.select("path", header.alias("header"), *[f"_{n}" for n in PREAMBLE_KEYS.values()])
     files = files.select(
         "path",
-        F.transform(fields(F.col("header")), header_key).alias("header"),
+        F.size("header").alias("width"),
+        F.array(*[_place(name) for name in FILE_COLUMNS]).alias("places"),
         *station_metadata(F.col("path")),
         (text.file_year(F.col("path")) if year is None else year).cast("int").alias("_year"),
     )
     rows = attach(
         tagged.filter(F.col("kind") == "data").select("path", "line"), files, ["path"], "inner"
-    ).withColumn("row", repair_ragged(fields(F.col("line")), F.size("header")))
-
-    def cell(name: str) -> Column:
-        at = [
-            F.get("row", F.nullif(F.array_position("header", alias), F.lit(0)).cast("int") - 1)
-            for alias, ours in HEADER_ALIASES.items()
-            if ours == name
-        ]
-        return F.coalesce(*at) if len(at) > 1 else at[0]
-
-    day = text.station_date(cell("obs_date"))
-    hour = text.station_hour(cell("obs_hour"))
-    parsed = rows.select(
+    )
+    # cells in the order of FILE_COLUMNS; arrays keep the generated code small
+    row = repair_ragged(fields(F.col("line")), F.col("width"))
+    # the outer transform binds the split row, so that it is split once and not per cell
+    picked = F.transform(
+        F.array(row), lambda r: F.transform(F.col("places"), lambda at: F.get(r, at - 1))
+    )
+    cells = rows.withColumn("cells", picked[0])
+    numbers = F.transform(
+        F.slice("cells", 3, len(MEASURES)), lambda c: text.number(text.decimal_comma(c))
+    )
+    parsed = cells.select(
         "path",
-        day.alias("obs_date"),
-        hour.alias("obs_hour"),
-        *[text.number(text.decimal_comma(cell(m))).alias(m) for m in MEASURES],
+        text.station_date(F.col("cells")[0]).alias("obs_date"),
+        text.station_hour(F.col("cells")[1]).alias("obs_hour"),
+        numbers.alias("numbers"),
         *PREAMBLE_KEYS.values(),
-        F.coalesce("_year", F.year(day)).alias("year"),
-    ).withColumn("ts", text.reading_time(F.col("obs_date"), F.col("obs_hour")))
+        "_year",
+    ).withColumns(
+        {
+            **{m: F.col("numbers")[i] for i, m in enumerate(MEASURES)},
+            "ts": text.reading_time(F.col("obs_date"), F.col("obs_hour")),
+            "year": F.coalesce("_year", F.year("obs_date")),
+        }
+    )
     return parsed.select("path", *[F.col(f.name).cast(f.dataType).alias(f.name) for f in READING_TYPE])
 
 
+def _place(name: str) -> Column:
+    """1-based place of a canonical column in the header of a file, else NULL."""
+    places = [
+        F.nullif(F.array_position("header", alias), F.lit(0)).cast("int")
+        for alias, ours in HEADER_ALIASES.items()
+        if ours == name
+    ]
+    return F.coalesce(*places)
+
+
 def station_metadata(path: Column) -> list[Column]:
     """Preamble values, filled from the file name where empty."""
     out = [

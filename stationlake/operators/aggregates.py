@@ -27,12 +27,9 @@ def most_frequent(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     tables = []
     for c in columns:
         counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-        best = counts.groupBy(*keys).agg(F.max("_n").alias("_n"))
-        tied = counts.withColumnRenamed("_n", "_count")
-        tables.append(
-            attach(tied, best, keys).filter(F.col("_count") == F.col("_n"))
-            .groupBy(*keys).agg(F.min(c).alias(c))
-        )
+        # the smallest of (−count, text) is the most frequent text, ties to the smallest
+        best = F.min(F.struct((-F.col("_n")).alias("_n"), F.col(c).alias("_c")))
+        tables.append(counts.groupBy(*keys).agg(best["_c"].alias(c)))
     return reduce(lambda a, b: a.join(b, keys, "full"), tables)
 
 

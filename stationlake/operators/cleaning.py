@@ -10,7 +10,7 @@ from stationlake.operators.ordered import (
     BLOCK_ROWS,
     POS,
     Blocks,
-    attach,
+    attach_stored,
     neighbours,
     over_rows,
 )
@@ -153,7 +153,7 @@ def fill_seasonal_mean(
     season = [*keys, *[f"_season_{n}" for n in parts]]
     means = tagged.groupBy(*season).agg(F.avg(column).alias("_season_mean"))
     return (
-        attach(tagged, means, season)
+        attach_stored(tagged, means, season)
         .withColumn(column, F.coalesce(column, "_season_mean"))
         .drop("_season_mean", *[f"_season_{n}" for n in parts])
     )
@@ -169,7 +169,7 @@ def fill_column_mean(df: DataFrame, keys: list[str], columns: list[str]) -> Data
         *keys, *[F.coalesce(f"_own_{c}", f"_all_{c}").alias(f"_mean_{c}") for c in columns]
     )
     return (
-        attach(df, means, keys)
+        attach_stored(df, means, keys)
         .withColumns({c: F.coalesce(c, f"_mean_{c}") for c in columns})
         .drop(*[f"_mean_{c}" for c in columns])
     )
@@ -207,7 +207,7 @@ def fill_mode(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
         *keys, *[F.col(c).alias(f"_mode_{c}") for c in columns]
     )
     return (
-        attach(df, modes, keys)
+        attach_stored(df, modes, keys)
         .withColumns({c: F.coalesce(c, f"_mode_{c}") for c in columns})
         .drop(*[f"_mode_{c}" for c in columns])
     )

@@ -20,6 +20,7 @@ from stationlake.operators.ordered import (
     POS,
     SIZE,
     attach,
+    attach_stored,
     lay_out,
     over_rows,
 )
@@ -41,7 +42,7 @@ def align_models(forecasts: DataFrame, keys: list[str], models: list[str]) -> Da
 def join_group_mean(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Mean of the group next to every row."""
     means = df.groupBy(*keys).agg(F.avg(column).alias(f"{column}_group_mean"))
-    return attach(df, means, keys)
+    return attach_stored(df, means, keys)
 
 
 def metric_columns(y: Column, f: Column) -> dict[str, Column]:
@@ -172,7 +173,7 @@ def residual_diagnostics(
         F.skewness("_e").alias("_g1"),
         F.kurtosis("_e").alias("_g2"),
     )
-    centred = attach(laid, centre.select(*keys, "mean"), keys).withColumn(
+    centred = attach_stored(laid, centre.select(*keys, "mean"), keys).withColumn(
         "_c", F.col("_e") - F.col("mean")
     )
     paired = over_rows(
@@ -212,7 +213,7 @@ def ensemble_forecast(forecasts: DataFrame, weights: DataFrame, keys: list[str])
 
     Where a model has no forecast, the weights of the others are scaled up.
     """
-    weighted = attach(forecasts, weights, ["model"], "inner")
+    weighted = attach_stored(forecasts, weights, ["model"], "inner")
     return weighted.groupBy(*keys).agg(
         (F.sum(F.col("weight") * F.col("forecast")) / F.sum("weight")).alias("forecast"),
         F.percentile("lower_bound", 0.025).alias("lower_bound"),

@@ -13,6 +13,7 @@ from stationlake.operators.ordered import (
     SIZE,
     Blocks,
     attach,
+    attach_stored,
     exact_quantiles,
     over_rows,
 )
@@ -90,7 +91,7 @@ def weather_flags(df: DataFrame, keys: list[str], humid_above: float = 70.0) ->
     """``is_raining`` and ``is_humid``; missing humidity counts as the station mean."""
     means = df.groupBy(*keys).agg(F.avg("humidity").alias("_humidity"))
     return (
-        attach(df, means, keys)
+        attach_stored(df, means, keys)
         .withColumns(
             {
                 "is_raining": (F.coalesce("precip_mm", F.lit(0.0)) > 0).cast("int"),
@@ -107,7 +108,7 @@ def time_index(df: DataFrame, keys: list[str], ts: str = "ts", seconds: int = 36
     """Time since the first reading of the station, in units of ``seconds``."""
     starts = df.groupBy(*keys).agg(F.min(ts).alias("_start"))
     passed = F.timestamp_diff("MICROSECOND", F.col("_start"), F.col(ts)) / 1e6
-    return attach(df, starts, keys).withColumn("time_index", passed / seconds).drop("_start")
+    return attach_stored(df, starts, keys).withColumn("time_index", passed / seconds).drop("_start")
 
 
 def seasonal_decompose(
@@ -139,7 +140,7 @@ def seasonal_decompose(
         *keys, "_phase", (F.col("_effect") - F.col("_centre")).alias("seasonal")
     )
     return (
-        attach(with_trend, seasonal, [*keys, "_phase"])
+        attach_stored(with_trend, seasonal, [*keys, "_phase"])
         .withColumn("residual", F.col(column) - F.col("trend") - F.col("seasonal"))
         .drop("_phase")
     )
@@ -187,7 +188,7 @@ def group_scale(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     ).when(
         F.col(column).isNotNull(), F.lit(0.0)
     )
-    return attach(df, stats, keys).withColumn(f"{column}_scaled", scaled).drop("_mean", "_std")
+    return attach_stored(df, stats, keys).withColumn(f"{column}_scaled", scaled).drop("_mean", "_std")
 
 
 def softplus(c: Column) -> Column:
@@ -204,7 +205,7 @@ def robust_scale(
         F.col("_high") - F.col("_low"), F.lit(0.0)
     )
     return (
-        attach(df, quantiles, keys)
+        attach_stored(df, quantiles, keys)
         .withColumn(f"{column}_robust", scaled)
         .drop("_low", "_mid", "_high")
     )
@@ -267,7 +268,7 @@ def _power_sums(laid, keys, column, rows, block_rows):
     does not grow with the frame.  Values are centred by the station mean first.
     """
     means = laid.groupBy(*keys).agg(F.avg(column).alias("_centre"))
-    blocks = Blocks.of(attach(laid, means, keys), keys, rows, 0, block_rows)
+    blocks = Blocks.of(attach_stored(laid, means, keys), keys, rows, 0, block_rows)
     x = F.col(column) - F.col("_centre")
     powers = {"n": F.col(column).isNotNull().cast("double"), "s1": x, "s2": x * x,
               "s3": x * x * x, "s4": x * x * x * x}

@@ -24,6 +24,7 @@ from stationlake.operators.ordered import (
     POS,
     SIZE,
     attach,
+    attach_stored,
     exact_quantiles,
     over_rows,
 )
@@ -294,7 +295,7 @@ def predict_in_sample(
 ) -> DataFrame:
     """One-step predictions with 95 % bounds where there is enough history."""
     lags = order.lags
-    rows = attach(
+    rows = attach_stored(
         lagged(grid, keys, column, order, lags, block_rows),
         fitted.select(*keys, "intercept", "coefficients", "sigma"),
         keys,
@@ -421,7 +422,7 @@ def _with_bounds(rows: DataFrame, keys: list[str], column: str, model: str) -> D
     )
     half = Z95 * F.col("_sigma")
     return (
-        attach(known, spread, keys)
+        attach_stored(known, spread, keys)
         .withColumns(
             {
                 "model": F.lit(model),
@@ -501,7 +502,7 @@ def quantile_interval(
     residuals = forecasts.withColumn("_residual", F.col(actual) - F.col("forecast"))
     quantiles = exact_quantiles(residuals, keys, "_residual", {"_low": low, "_high": high})
     return (
-        attach(forecasts, quantiles, keys)
+        attach_stored(forecasts, quantiles, keys)
         .withColumn("lower_bound", F.col("forecast") + F.col("_low"))
         .withColumn("upper_bound", F.col("forecast") + F.col("_high"))
         .drop("_low", "_high")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from stationlake.session import scratch_path
+from stationlake.session import materialise, scratch_path
 
 POS = "series_pos"
 SIZE = "series_rows"
@@ -30,13 +30,6 @@ BLOCK = "series_block"
 BLOCK_ROWS = 1 << 18
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on ``keys``: a NULL key is a series of its own."""
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True)
-    )
-
-
 def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Bring the columns of a per-key table to every row of ``df``.
 
@@ -56,6 +49,17 @@ def attach(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left")
     return df.join(renamed, match, how).drop(*[f"__{k}" for k in keys])
 
 
+def attach_stored(
+    df: DataFrame, small: DataFrame, keys: list[str], how: str = "left"
+) -> DataFrame:
+    """`attach` for a table with few rows per key, such as means per station.
+
+    The table is written first.  Spark then knows its size when it plans the join: a
+    small one is broadcast and ``df`` is not shuffled at all, a large one is not.
+    """
+    return attach(df, materialise(small, "keys"), keys, how)
+
+
 def lay_out(
     df: DataFrame,
     keys: list[str],
@@ -90,7 +94,7 @@ def lay_out(
     runs = stored.groupBy(*keys, "_part").agg(
         F.min("_row").alias("_first"), F.sum(amount).cast("long").alias("_amount")
     )
-    # one row per (series, part): at most as many per series as there are parts
+    # one row per (series, part): a series has at most as many as there are parts
     earlier = Window.partitionBy(*keys).orderBy("_part") if keys else Window.orderBy("_part")
     runs = runs.select(
         *keys,
@@ -99,7 +103,7 @@ def lay_out(
         (F.sum("_amount").over(earlier) - F.col("_amount")).alias("_before"),
         F.sum("_amount").over(Window.partitionBy(*keys)).alias(SIZE),
     )
-    placed = attach(stored, runs, [*keys, "_part"])
+    placed = attach_stored(stored, runs, [*keys, "_part"])
     if weight:
         in_part = Window.partitionBy(*keys, "_part").orderBy("_row")
         offset = F.sum(amount).over(in_part) - amount

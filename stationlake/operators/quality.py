@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.operators.ordered import BLOCK_ROWS, attach, over_rows
+from stationlake.operators.ordered import BLOCK_ROWS, attach, attach_stored, over_rows
 from stationlake.schema import REQUIRED
 
 
@@ -84,7 +84,7 @@ def validate_aggregate(
         ],
     )
     centres = basic.select(*keys, *[f"_{p}_{c}" for c in columns for p in ("mean", "std")])
-    beyond = attach(df.select(*keys, *columns), centres, keys).groupBy(*keys).agg(
+    beyond = attach_stored(df.select(*keys, *columns), centres, keys).groupBy(*keys).agg(
         *[
             F.count_if(
                 F.abs(F.col(c) - F.col(f"_mean_{c}")) > sigmas * F.col(f"_std_{c}")

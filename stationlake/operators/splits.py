@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.operators.ordered import POS, SIZE
+from stationlake.operators.ordered import POS, SIZE, attach_stored, lay_out
 
 
 def concat_stations(frames: list[DataFrame]) -> DataFrame:
@@ -36,32 +36,47 @@ def draw(seed: int, row_id: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")).cast("binary"))
 
 
+def _lowest_draws(df: DataFrame, keys: list[str], n: int, row_id: str, seed: int) -> DataFrame:
+    """At least the ``n`` lowest draws per key and few more, or all rows of a smaller key.
+
+    Rows are counted by the first digits of their draw; the counts are summed up in
+    order and tell which first digits hold the ``n`` lowest draws.
+    """
+    drawn = df.withColumn("_draw", draw(seed, row_id)).withColumn(
+        "_bucket", F.substring("_draw", 1, DRAW_DIGITS)
+    )
+    counts = drawn.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    needed = lay_out(counts, keys, ["_bucket"], weight="_n").filter(F.col(POS) < n)
+    last = needed.groupBy(*keys).agg(F.max("_bucket").alias("_last"))
+    return attach_stored(drawn, last, keys).filter(F.col("_bucket") <= F.col("_last"))
+
+
+# 16^5 first digits: a million counts per key, each of a millionth of its rows
+DRAW_DIGITS = 5
+DRAW_COLUMNS = ["_draw", "_bucket", "_last"]
+
+
 def sample_per_group(
     df: DataFrame, keys: list[str], n: int, row_id: str, seed: int = 42
 ) -> DataFrame:
     """``n`` random rows per key, all rows of a smaller key.
 
-    Ranked first within slices of a key, then over the at most ``n`` rows each slice
-    keeps, so a key with very many rows is not ranked in one task.
+    Only rows that can be among the ``n`` are ranked, so a key with very many rows
+    is not ranked in one task.
     """
-    slices = 64
-    drawn = df.withColumn("_draw", draw(seed, row_id)).withColumn(
-        "_slice", F.pmod(F.xxhash64(row_id), F.lit(slices))
-    )
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_draw", row_id)
     in_key = Window.partitionBy(*keys).orderBy("_draw", row_id)
     return (
-        drawn.withColumn("_rank", F.row_number().over(in_slice))
-        .filter(F.col("_rank") <= n)
+        _lowest_draws(df, keys, n, row_id, seed)
         .withColumn("_rank", F.row_number().over(in_key))
         .filter(F.col("_rank") <= n)
-        .drop("_draw", "_slice", "_rank")
+        .drop("_rank", *DRAW_COLUMNS)
     )
 
 
 def sample_rows(df: DataFrame, n: int, row_id: str, seed: int = 42) -> DataFrame:
     """``n`` random rows without replacement."""
-    return df.orderBy(draw(seed, row_id), row_id).limit(n)
+    low = _lowest_draws(df, [], n, row_id, seed)
+    return low.orderBy("_draw", row_id).limit(n).drop(*DRAW_COLUMNS)
 
 
 def split_holdout_year(df: DataFrame, holdout: int, year: str = "year") -> DataFrame:

@@ -36,6 +36,26 @@ def local_session(cpus: str = "8", name: str = "stationlake") -> SparkSession:
     return spark
 
 
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def size_shuffles(spark: SparkSession, *paths: str) -> int:
+    """Raise the number of shuffle partitions to about 128 MB of input each.
+
+    The setting is never lowered, and adaptive execution merges partitions that
+    turn out small.  Returns the number now set.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        total += path.getFileSystem(hadoop).getContentSummary(path).getLength()
+    key = "spark.sql.shuffle.partitions"
+    wanted = max(int(spark.conf.get(key)), -(-total // TARGET_PARTITION_BYTES))
+    spark.conf.set(key, str(wanted))
+    return wanted
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -74,3 +74,38 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_root(Session())
+
+
+def test_shuffle_partitions_follow_the_input(spark, monkeypatch):
+    from stationlake import session
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    try:
+        assert session.size_shuffles(spark, SF_DIR) == int(before)
+        monkeypatch.setattr(session, "TARGET_PARTITION_BYTES", 1000)
+        assert session.size_shuffles(spark, SF_DIR) > int(before)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_means_are_broadcast_without_shuffling_the_readings(spark):
+    from stationlake.operators.features import group_scale
+
+    scaled = group_scale(standins.cleared(spark, SF_DIR), ["station"], "temp_c")
+    plan = scaled._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_large_key_table_is_not_broadcast(spark):
+    from stationlake.operators.features import group_scale
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10")
+        scaled = group_scale(standins.cleared(spark, SF_DIR), ["station"], "temp_c")
+        plan = scaled._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.set(key, before)

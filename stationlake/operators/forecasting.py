@@ -522,7 +522,7 @@ def run_models(
     """Predictions of every model as one long frame.
 
     A model whose plan cannot be built (say, a column it needs is absent) is left
-    out and named in the exception note of the last resort: no model at all.
+    out; if that is true of all models, the error names the reasons.
     """
     frames, failures = [], []
     for name, model in (models or MODELS).items():

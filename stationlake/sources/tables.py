@@ -31,8 +31,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def write_parquet(
     df: DataFrame, path: str, by: list[str] = ("year",), mode: str = "errorifexists"
 ) -> None:
-    """Parquet in one folder per ``by``; a large folder gets many files."""
-    spread = df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(16))) if by else df
+    """Parquet in one folder per ``by``; the rebalance splits a large folder into many files."""
+    spread = df.hint("rebalance", *by) if by else df
     spread.write.mode(mode).partitionBy(*by).parquet(path)
 
 

@@ -22,7 +22,7 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
-def test_no_global_window_no_python_no_cross_join(spark, name):
+def test_no_global_window_and_no_python(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF_DIR))
     for line in plan.splitlines():
         match = re.search(r"Window \[.*windowspecdefinition\((.*?)\)", line)

@@ -212,26 +212,38 @@ def neighbours(
             for part in ("pos_", "")
         ],
     )
-    so_far = blocks.window.rowsBetween(Window.unboundedPreceding, 0)
-    to_come = blocks.reverse.rowsBetween(Window.unboundedPreceding, 0)
+    # the carried values enter a block as one row before and one row after its rows,
+    # so that no join is needed and the readings are shuffled once
+    sides = {"in": F.col(BLOCK) * block_rows - 1, "out": (F.col(BLOCK) + 1) * block_rows}
+    rows = blocks.df.withColumns(
+        {
+            "_edge": F.lit(False),
+            **{f"_seen_{c}": F.when(F.col(c).isNotNull(), F.col(POS)) for c in columns},
+        }
+    )
+    for side, at in sides.items():
+        edge = carried.select(
+            *keys,
+            BLOCK,
+            at.alias(POS),
+            F.lit(True).alias("_edge"),
+            *[F.col(f"_{side}_{c}").alias(c) for c in columns],
+            *[F.col(f"_{side}_pos_{c}").alias(f"_seen_{c}") for c in columns],
+        )
+        rows = rows.unionByName(edge, allowMissingColumns=True)
+    joined = Blocks(rows, tuple(keys), block_rows)
+    start = Window.unboundedPreceding
     near = {}
-    for c in columns:
-        seen = F.when(F.col(c).isNotNull(), F.col(POS))
-        near[f"prev_pos_{c}"] = F.last(seen, ignorenulls=True).over(so_far)
-        near[f"prev_{c}"] = F.last(c, ignorenulls=True).over(so_far)
-    for c in columns:
-        seen = F.when(F.col(c).isNotNull(), F.col(POS))
-        near[f"next_pos_{c}"] = F.last(seen, ignorenulls=True).over(to_come)
-        near[f"next_{c}"] = F.last(c, ignorenulls=True).over(to_come)
-    joined = attach(blocks.df.withColumns(near), carried, [*keys, BLOCK])
-    merged = {}
-    for c in columns:
-        merged[f"prev_{c}"] = F.coalesce(f"prev_{c}", f"_in_{c}")
-        merged[f"prev_pos_{c}"] = F.coalesce(f"prev_pos_{c}", f"_in_pos_{c}")
-        merged[f"next_{c}"] = F.coalesce(f"next_{c}", f"_out_{c}")
-        merged[f"next_pos_{c}"] = F.coalesce(f"next_pos_{c}", f"_out_pos_{c}")
-    carried_names = [f"_{side}_{part}{c}" for side in ("in", "out") for part in ("pos_", "") for c in columns]
-    return joined.withColumns(merged).drop(BLOCK, *carried_names)
+    for name, window in (("prev", joined.window), ("next", joined.reverse)):
+        for c in columns:
+            so_far = window.rowsBetween(start, 0)
+            near[f"{name}_pos_{c}"] = F.last(f"_seen_{c}", ignorenulls=True).over(so_far)
+            near[f"{name}_{c}"] = F.last(c, ignorenulls=True).over(so_far)
+    return (
+        joined.with_columns(near)
+        .df.filter(~F.col("_edge"))
+        .drop(BLOCK, "_edge", *[f"_seen_{c}" for c in columns])
+    )
 
 
 def exact_quantiles(

@@ -23,6 +23,7 @@ from stationlake.operators.ordered import (
     BLOCK_ROWS,
     POS,
     SIZE,
+    Blocks,
     attach,
     attach_stored,
     exact_quantiles,
@@ -94,17 +95,11 @@ def lagged(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Adds ``_w`` (differenced value) and ``_x<lag>`` (its lags); NULL without history."""
-    reach = order.d + order.s * order.D
-    first = over_rows(
-        grid, keys, reach, 0, lambda w: {"_w": _differenced(column, order, w)}, block_rows
-    )
-    if not lags:
-        return first
-    return over_rows(
-        first, keys, max(lags), 0,
-        lambda w: {n: F.lag("_w", lag).over(w) for n, lag in zip(_lag_names(lags), lags)},
-        block_rows,
-    )
+    reach = order.d + order.s * order.D + max(lags, default=0)
+    blocks = Blocks.of(grid, keys, reach, 0, block_rows)
+    blocks = blocks.with_columns({"_w": _differenced(column, order, blocks.window)})
+    lagging = {n: F.lag("_w", lag).over(blocks.window) for n, lag in zip(_lag_names(lags), lags)}
+    return (blocks.with_columns(lagging) if lagging else blocks).home()
 
 
 def _products(lags: list[int]) -> dict[str, Column]:

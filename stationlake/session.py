@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +38,22 @@ def local_session(cpus: str = "8", name: str = "stationlake") -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application."""
+    context = spark.sparkContext
+    if any(name.endswith("/stationlake.zip") for name in context.listFiles):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="stationlake-"), "stationlake.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    source = os.path.join(folder, name)
+                    archive.write(source, os.path.relpath(source, os.path.dirname(here)))
+    context.addPyFile(path)
+
+
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stationlake.llm import near_duplicates
+from stationlake.llm import near_duplicates, quality
 from stationlake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,14 +25,14 @@ def query(name: str, sql: str | None = None):
 
 #: Words of lower-cased texts.
 _WORDS = f"""list_filter(regexp_split_to_array(translate(text, '{UPPER}', '{LOWER}'),
-        '[\\x20\\x09-\\x0D]+'), x -> x <> '')"""
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"""
 
 MINHASH_SQL = f"""
 WITH RECURSIVE words AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
 shingles AS (
     SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []
         WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-        ELSE list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) END) AS s
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
     FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (
@@ -54,3 +54,8 @@ FROM documents JOIN smallest USING (doc_id) LEFT JOIN sizes USING (doc_id)
 @query("op1_minhash_near_dedup", MINHASH_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -55,24 +55,33 @@ def stretches(rows: int) -> int:
     return max(1, -(-rows // STRETCH_ROWS))
 
 
+def unit_hash(*parts: Column) -> Column:
+    """A 63-bit hash, at least 0."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 1)
+
+
+def hash_spot(h: str) -> Column:
+    """Where in [0, 1) a `unit_hash` lies."""
+    return F.shiftrightunsigned(F.col(h), 10) / F.lit(float(1 << 53))
+
+
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
+    spot: Column,
     value: str,
     name: str,
     rows: int,
 ) -> DataFrame:
     """Add ``name``: the total of ``value`` over earlier rows of the same keys.
 
-    The first column of ``order`` must be a 64-bit hash spread evenly over its range.  A
-    series is cut into stretches of that range, so a key with most of the rows is shared by
-    many tasks; totals of whole stretches go through a table of one row per key and stretch.
+    ``spot`` rises with ``order`` and spreads the rows evenly over [0, 1).  A series is cut into
+    stretches of it, so a key with most of the rows is shared by many tasks; totals of
+    whole stretches go through a table of one row per key and stretch.  ``df`` is read twice
+    and should be a written table.
     """
-    n = stretches(rows)
-    # the hash shifted down to 0 .. 2^31 - 1, then scaled to 0 .. n - 1
-    spot = F.shiftrightunsigned(F.col(order[0]), 33) * F.lit(n) / F.lit(1 << 31)
-    cut = df.withColumn("_stretch", F.floor(spot).cast("int"))
+    cut = df.withColumn("_stretch", F.floor(spot * stretches(rows)).cast("int"))
     sums = cut.groupBy(*keys, "_stretch").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_stretch")
     before = sums.select(

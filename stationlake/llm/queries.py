@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import lines, near_duplicates, quality, sharding
+from stationlake.llm import lines, mixing, near_duplicates, quality, sharding
 from stationlake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,56 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+MIXING_SQL = """
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source,
+        coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+    FROM documents),
+per AS (
+    SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::BIGINT AS cap,
+        [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE
+            AS weight
+    FROM d GROUP BY source),
+levels AS (
+    SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::BIGINT - (sum(cap) OVER w - cap))
+        / (sum(weight) OVER () - (sum(weight) OVER w - weight)) AS level
+    FROM per WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
+shared AS (SELECT min(level) AS level FROM levels WHERE cap / weight >= level),
+goals AS (
+    SELECT source, source_size, coalesce(least(cap, weight * shared.level), cap) AS target
+    FROM levels, shared),
+ends AS (
+    SELECT source, round(target)::BIGINT AS goal,
+        sum(round(target)::BIGINT) OVER (ORDER BY source NULLS LAST)::BIGINT AS stop
+    FROM goals),
+plan AS (
+    SELECT sum(goal)::BIGINT AS total, greatest(1, (sum(goal)::BIGINT + 131071) // 131072) AS words
+    FROM ends),
+slots AS (
+    SELECT floor(((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE
+        - floor((i + 0.5::DOUBLE) * 0.6180339887498949::DOUBLE)) * total::DOUBLE)::BIGINT AS spot
+    FROM plan, range((total + words - 1) // words) t(i)),
+filled AS (
+    SELECT source, count(*) AS n FROM slots JOIN ends ON spot >= stop - goal AND spot < stop
+    GROUP BY source),
+copies AS (
+    SELECT r, doc_id, source, size, pass, sum(size) OVER (
+        PARTITION BY source, pass ORDER BY md5(pass || ':' || doc_id), size, r) - size AS begin
+    FROM d, (VALUES (1), (2)) p(pass)),
+takes AS (
+    SELECT r, sum(greatest(0, least(n * words, begin + (pass - 1) * source_size + size)
+        - begin - (pass - 1) * source_size))::BIGINT AS taken
+    FROM copies JOIN goals USING (source) JOIN filled USING (source), plan GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM d JOIN goals ON d.source IS NOT DISTINCT FROM goals.source LEFT JOIN takes USING (r)
+"""
+
+
+@query("op8_source_mixing", MIXING_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_report(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])

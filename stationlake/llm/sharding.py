@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import running
+from stationlake.llm.common import hash_spot, running, unit_hash
 from stationlake.session import materialise
 
 SHARDS, SHARDS_PER_RACK, RACKS_PER_REGION = 16, 4, 2
@@ -109,7 +109,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id",
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        F.xxhash64(F.lit("slot"), key).alias("_order"),
+        unit_hash(F.lit("slot"), key).alias("_order"),
         key.alias("_key"),
         F.lit(1).alias("_one"),
     )
@@ -121,9 +121,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     placed = placed.withColumn("grown_shard", grown.cast("int"))
     placed = materialise(placed, "placed")  # without texts, which are read once
     per_shard = -(-placed.count() // shards)
-    slots = running(
-        placed, ["shard"], ["_order", "doc_id", "text_crc32", "size"], "_one", "slot", per_shard
-    )
+    order = ["_order", "doc_id", "text_crc32", "size"]
+    slots = running(placed, ["shard"], order, hash_spot("_order"), "_one", "slot", per_shard)
     return slots.select(
         "doc_id",
         "size",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import lines, mixing, near_duplicates, pieces, quality, sharding
+from stationlake.llm import language, lines, mixing, near_duplicates, pieces, quality, sharding
 from stationlake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,17 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn(
+        "held_out", language.held_out(F.col("doc_id"))
+    )
+    model = language.fit(docs.where("not held_out"))
+    return language.identify(docs, model, ["doc_id", "held_out"]).select(
+        "doc_id", "held_out", "lang_pred", "score", "spans"
+    )
+
+
 @query("op4_sharding")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import html, language, lines, mixing, near_duplicates, pieces, quality, sharding
+from stationlake.llm import html, language, licences, lines, mixing, near_duplicates, neighbours, pieces, quality, sharding
 from stationlake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 LINES_SQL = f"""
 WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM split),
@@ -106,6 +111,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_licence_scan", licences.licence_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.find_licences(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 MIXING_SQL = """
 WITH RECURSIVE d AS (
     SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source,

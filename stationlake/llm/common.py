@@ -28,6 +28,28 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def carried(df: DataFrame, carry: list[str], results: set[str]) -> tuple[list[str], str]:
+    """Columns of ``df`` to hand through, and their part of a schema.
+
+    One that is named like a result is left out: the result has the name.
+    """
+    names = [c for c in carry if c.lower() not in results]
+    fields = df.select(*[F.col(f"`{c}`") for c in names]).schema.fields
+    return names, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` as one column ``_row`` of all its columns, safe from names of results."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that `packed` hid, some of them changed."""
+    return df.select(
+        *[changed.get(c, F.col("_row").getField(c)).alias(c) for c in names]
+    )
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space; `bytes.split` splits at exactly `SPACES`."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

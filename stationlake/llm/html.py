@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import slices
+from stationlake.llm.common import carried, slices
 
 #: Element names of the HTML standard by their role.
 RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
@@ -265,13 +265,13 @@ def extract(pages: DataFrame, weights: Weights, carry: list[str]) -> DataFrame:
     """The columns ``carry`` of ``pages``, the main ``text`` of each whole page and ``n_chars``.
 
     A null or empty page, or one without words outside boilerplate, gives an empty text.  Rows
-    stand alone; no rows give no rows; columns not carried are ignored, a carried one named
-    like a result raises ValueError.
+    stand alone; no rows give no rows; columns not carried are ignored, one named
+    like a result is left out.
     """
-    clash = {c.lower() for c in carry} & {"text", "n_chars", "_html"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are named like results")
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*carry).schema)
-    return pages.select(*carry, F.col("html").cast("string").alias("_html")).mapInArrow(
-        partial(_extract, weights=weights, carry=list(carry)), ddl + "text string, n_chars long"
+    carry, ddl = carried(pages, carry, {"text", "n_chars", "_html"})
+    taken = pages.select(
+        *[F.col(f"`{c}`") for c in carry], F.col("html").cast("string").alias("_html")
+    )
+    return taken.mapInArrow(
+        partial(_extract, weights=weights, carry=carry), ddl + "text string, n_chars long"
     )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import slices
+from stationlake.llm.common import carried, slices
 
 #: First code points of ranges of scripts and their names; a range ends where the next begins.
 SCRIPTS = (
@@ -306,14 +306,14 @@ def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     its share of the letters, ``spans`` the runs ``first, words, lang`` of words between white
     space.  A text that is null or has no letter, or a model without languages, gives ``und``,
     score 0 and no spans.  Rows stand alone; no rows give no rows; columns not carried are
-    ignored, a carried one named like a result raises ValueError.
+    ignored, one named like a result is left out.
     """
-    clash = {c.lower() for c in carry} & {"lang_pred", "score", "spans", "_text"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are named like results")
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*carry).schema)
-    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(
-        partial(_label, model=model, carry=list(carry)),
+    carry, ddl = carried(docs, carry, {"lang_pred", "score", "spans", "_text"})
+    taken = docs.select(
+        *[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text")
+    )
+    return taken.mapInArrow(
+        partial(_label, model=model, carry=carry),
         ddl + "lang_pred string, score double, spans array<struct<first:long,words:long,lang:string>>",
     )
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stationlake.llm.common import carried
+
 # Sentences of public licence texts and notices, by identifier.
 SENTENCES = (
     ("mit-title", "MIT License"),
@@ -180,11 +182,11 @@ def find_licences(docs: DataFrame, carry: list[str]) -> DataFrame:
     known is tried line by line.  Unknown sentences don't come between the known ones.
 
     A null or empty text has none of these: empty strings and 0.  Rows stand alone; no rows give no
-    rows; columns not carried are ignored, a carried one named like a result raises ValueError.
+    rows; columns not carried are ignored, one named like a result is left out.
     """
-    clash = {c.lower() for c in carry} & {"sentence_ids", "n_known", "licences", "_text", "_left"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are named like results")
+    results = {"sentence_ids", "n_known", "licences", "_ids", "_left"}
+    carry, _ = carried(docs, carry, results | {f"_m{i}" for i in range(len(RULES))})
+    handed = [F.col(f"`{c}`") for c in carry]
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
 
     def lookup(sentence: Column) -> Column:
@@ -198,7 +200,7 @@ def find_licences(docs: DataFrame, carry: list[str]) -> DataFrame:
     text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     sentences = F.split(text, SENTENCE_END)
     ids = F.flatten(F.transform(sentences, lookup))
-    out = docs.select(*carry, ids.alias("_ids"))
+    out = docs.select(*handed, ids.alias("_ids"))
     # each identifier between spaces of its own
     spaced = F.array_join(F.transform("_ids", lambda x: F.concat(F.lit(" "), x, F.lit(" "))), "")
     out = out.withColumn("_left", spaced)
@@ -214,7 +216,7 @@ def find_licences(docs: DataFrame, carry: list[str]) -> DataFrame:
         found.append(f"_m{i}")
     matched = F.array(*[F.when(F.col(m), F.lit(name)) for m, (name, _) in zip(found, RULES)])
     return out.select(
-        *carry,
+        *handed,
         F.array_join("_ids", " ").alias("sentence_ids"),
         F.size("_ids").cast("long").alias("n_known"),
         F.array_join(F.array_distinct(F.array_compact(matched)), ",").alias("licences"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import SPACES, lower_ascii
+from stationlake.llm.common import SPACES, lower_ascii, packed, unpacked
 from stationlake.session import materialise
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -42,11 +42,8 @@ def dedup_lines(
 
     A null or empty text is one empty line and gives an empty text.  Rows with equal doc_id
     each count as a document, and all of them may be the largest.  A row without doc_id
-    counts and is never the largest.  Columns named like the three results raise ValueError.
+    counts and is never the largest.  Input columns named like the three results are replaced.
     """
-    clash = {c.lower() for c in docs.columns} & {"n_lines", "n_dropped", "kept_text", "_drop"}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are named like results")
     key = F.transform(_lines(F.col("text")), _key)
     long_keys = F.filter(key, lambda k: F.char_length(k) >= least_chars)
     hashes = F.array_distinct(F.transform(long_keys, _hash))
@@ -68,7 +65,9 @@ def dedup_lines(
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
     )
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]), "left").drop("_id")
+    joined = docs.drop("_id", "_drop", "_kept").join(
+        drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left"
+    )
     split = _lines(F.col("text"))
 
     def stays(line: Column) -> Column:
@@ -81,17 +80,21 @@ def dedup_lines(
         .withColumn("n_lines", F.size(split).cast("long"))
         .withColumn("n_dropped", (F.size(split) - F.size("_kept")).cast("long"))
         .withColumn("kept_text", F.array_join("_kept", "\n"))
-        .drop("_drop", "_kept")
+        .drop("_id", "_drop", "_kept")
     )
 
 
 def without_common_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with shortened texts; only lost lines change a text, and n_chars follows."""
-    found = dedup_lines(docs)
+    row = F.col("_row")
+    found = dedup_lines(
+        packed(docs).withColumns({"doc_id": row.getField("doc_id"), "text": row.getField("text")})
+    )
     changed = F.col("n_dropped") > 0
     columns = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(
-            F.col("n_chars")
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(changed, F.char_length("kept_text").cast(kind)).otherwise(
+            row.getField("n_chars")
         )
-    return found.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(found, docs.columns, **columns)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import running
+from stationlake.llm.common import packed, running, unpacked
 from stationlake.session import materialise
 
 GOLDEN = 0.6180339887498949
@@ -40,7 +40,8 @@ def targets(rows: DataFrame, mixture: Mixture) -> DataFrame:
     """``source, source_size, target`` per source of ``rows (source, size)``.
 
     Sources that reach their cap are those with the smallest cap per weight; the level that
-    the others share follows from running totals in that order.  One row per source.
+    the others share follows from running totals in that order: it falls after the first source
+    below its cap, so it is the largest among those.  One row per source.
     """
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -60,7 +61,7 @@ def targets(rows: DataFrame, mixture: Mixture) -> DataFrame:
     level = (F.col("_total") - F.col("_caps")) / (F.col("_weights") - F.col("_used"))
     per = per.withColumn("_level", level)
     free = F.col("cap") / F.col("weight") >= F.col("_level")
-    per = per.withColumn("_shared", F.min(F.when(free, F.col("_level"))).over(everything))
+    per = per.withColumn("_shared", F.max(F.when(free, F.col("_level"))).over(everything))
     target = F.least(F.col("cap"), F.col("weight") * F.col("_shared"))
     return per.select("source", "source_size", F.coalesce(target, "cap").alias("target"))
 
@@ -192,27 +193,31 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFram
     at a source's end that is taken in part keeps the words taken, with their spaces.
     Rows without words take no room and stay once.
     """
-    whole = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")
+    whole = packed(docs).withColumn("row", F.monotonically_increasing_id())
+    whole = materialise(whole, "documents")
+    field = F.col("_row").getField
     rows = whole.select(
-        F.col("_row").alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size")
+        "row",
+        field("doc_id").alias("doc_id"),
+        field("source").alias("source"),
+        n_words(field("text")).alias("size"),
     )
     rows = materialise(rows, "rows")
     _, pieces = mix(rows, mixture or Mixture())
     chosen = pieces.groupBy("row", "pass").agg(F.sum("words").alias("_words"))
-    chosen = chosen.join(rows.select("row", "size"), "row").select(
-        F.col("row").alias("_row"), "_words", "size"
-    )
-    empty = rows.where("size = 0").select(
-        F.col("row").alias("_row"), F.lit(0).cast("long").alias("_words"), F.col("size").alias("_size")
+    chosen = chosen.join(rows.select("row", "size"), "row").select("row", "_words", "size")
+    empty = rows.where("size = 0").select("row", F.lit(0).cast("long").alias("_words"), "size")
+    whole_row = F.col("_words") == F.col("size")
+    parts = F.regexp_extract_all(
+        field("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)
     )
-    part = F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    text = F.when(F.col("_words") == F.col("_size"), F.col("text")).otherwise(
-        F.array_join(F.slice(part, F.lit(1), F.col("_words").cast("int")), "")
+    text = F.when(whole_row, field("text")).otherwise(
+        F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")
     )
     columns = {"text": text}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("_words") == F.col("_size"), F.col("n_chars")).otherwise(
-            F.char_length(text).cast("long")
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(whole_row, field("n_chars")).otherwise(
+            F.char_length(text).cast(kind)
         )
-    mixed = whole.join(chosen.union(empty), "_row")
-    return mixed.withColumns(columns).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(whole.join(chosen.union(empty), "row"), docs.columns, **columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import slices
+from stationlake.llm.common import carried, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -245,14 +245,6 @@ def _decode(batches, data: bytes, carry: list[str]):
         )
 
 
-def _carried(df: DataFrame, carry: list[str], results: set[str]) -> str:
-    clash = {c.lower() for c in carry} & results
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are named like results")
-    schema = df.select(*carry).schema
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema)
-
-
 def encode(
     docs: DataFrame, carry: list[str], model_file: str = MODEL_FILE, threads: int = 1
 ) -> DataFrame:
@@ -261,19 +253,23 @@ def encode(
     ``ids`` are the token ids, ``n_tokens`` their number, ``round_trip`` says whether
     decoding gives the text again (a text with U+2581 does not), ``parity`` whether SentencePiece
     itself gives the same ids.  A null or empty text has no ids.  Each row stands alone, so repeated
-    rows get equal results; no rows give no rows.  Columns not carried are ignored, a
-    carried one named like a result raises ValueError.  ``threads`` are those of one task.
+    rows get equal results; no rows give no rows.  Columns not carried are ignored,
+    one named like a result is left out.  ``threads`` are those of one task.
     """
-    ddl = _carried(docs, carry, {"n_tokens", "ids", "round_trip", "parity", "_text"})
-    return docs.select(*carry, F.col("text").cast("string").alias("_text")).mapInArrow(
-        partial(_encode, data=read_model(model_file), threads=threads, carry=list(carry)),
+    carry, ddl = carried(docs, carry, {"n_tokens", "ids", "round_trip", "parity", "_text"})
+    taken = docs.select(
+        *[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text")
+    )
+    return taken.mapInArrow(
+        partial(_encode, data=read_model(model_file), threads=threads, carry=carry),
         ddl + "n_tokens long, ids array<int>, round_trip boolean, parity boolean",
     )
 
 
 def decode(tokens: DataFrame, carry: list[str], model_file: str = MODEL_FILE) -> DataFrame:
     """The columns ``carry`` and ``text``, from the column ``ids``; null ids give an empty text."""
-    ddl = _carried(tokens, carry, {"text", "_ids"})
-    return tokens.select(*carry, F.col("ids").alias("_ids")).mapInArrow(
-        partial(_decode, data=read_model(model_file), carry=list(carry)), ddl + "text string"
+    carry, ddl = carried(tokens, carry, {"text", "_ids"})
+    taken = tokens.select(*[F.col(f"`{c}`") for c in carry], F.col("ids").alias("_ids"))
+    return taken.mapInArrow(
+        partial(_decode, data=read_model(model_file), carry=carry), ddl + "text string"
     )

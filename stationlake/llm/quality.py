@@ -7,17 +7,19 @@ one fixed size have one pair of limits, which finds a bad stretch inside a long
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.llm.common import SPACES, slices, words_of
+from stationlake.llm.common import SPACES, carried, slices, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -127,19 +129,20 @@ _DDL = (
 )
 
 
+def verdict(text: str, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
+    """The results of one text, in the order of `_OUT`."""
+    found = counts(text)
+    failed = found[0] < 10 or 100 * found[4] > 20 * found[0]
+    data = text.encode("utf-8", "surrogatepass")
+    ratio, chunks, outside, passes = compression(data, bands, packer)
+    return (*found, failed, passes and not failed, ratio, chunks, outside)
+
+
 def _judge(batches, bands: Bands, carry: list[str]):
     packer = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
     for whole in batches:
         for batch in slices(whole, "_text"):
-            rows = []
-            for text in batch.column("_text").to_pylist():
-                text = text or ""
-                found = counts(text)
-                failed = found[0] < 10 or 100 * found[4] > 20 * found[0]
-                ratio, chunks, outside, passes = compression(
-                    text.encode("utf-8", "surrogatepass"), bands, packer
-                )
-                rows.append((*found, failed, passes and not failed, ratio, chunks, outside))
+            rows = [verdict(x or "", bands, packer) for x in batch.column("_text").to_pylist()]
             columns = list(zip(*rows)) or [[]] * len(_OUT)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in carry]
@@ -154,20 +157,23 @@ def judge(docs: DataFrame, carry: list[str], bands: Bands | None = None) -> Data
     A null or empty text has no words and fails.  ``kept`` is false for texts under ten words, for
     those with over 20 % repeated words, and for those outside the compression bands.  Rows
     are judged one by one, so repeated rows get equal results; no rows give no rows; columns not
-    carried are ignored, and a carried one named like a result raises ValueError.
+    carried are ignored, and one named like a result is left out.
     """
-    clash = {c.lower() for c in carry} & {name for name, _ in _OUT}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are named like results")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    taken = docs.select(*carry, F.col("text").cast("string").alias("_text"))
-    return taken.mapInArrow(
-        partial(_judge, bands=bands or Bands(), carry=list(carry)), f"{fields}, {_DDL}"
+    carry, ddl = carried(docs, carry, {"_text", *(name for name, _ in _OUT)})
+    taken = docs.select(
+        *[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text")
     )
+    return taken.mapInArrow(partial(_judge, bands=bands or Bands(), carry=carry), ddl + _DDL)
 
 
 def keep_good(docs: DataFrame, bands: Bands | None = None) -> DataFrame:
-    """Rows of ``docs``, all columns, that the rules keep."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text")
-    judged = judge(packed, ["_row"], bands).where("kept")
-    return judged.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    """Rows of ``docs``, all columns, that the rules keep; only texts go to Python."""
+    bands = bands or Bands()
+
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        packer = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
+        for texts in batches:
+            yield pd.Series([verdict(x or "", bands, packer)[6] for x in texts], dtype=bool)
+
+    return docs.where(good(F.col("text").cast("string")))

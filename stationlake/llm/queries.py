@@ -130,7 +130,7 @@ levels AS (
     SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::BIGINT - (sum(cap) OVER w - cap))
         / (sum(weight) OVER () - (sum(weight) OVER w - weight)) AS level
     FROM per WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
-shared AS (SELECT min(level) AS level FROM levels WHERE cap / weight >= level),
+shared AS (SELECT max(level) AS level FROM levels WHERE cap / weight >= level),
 goals AS (
     SELECT source, source_size, coalesce(least(cap, weight * shared.level), cap) AS target
     FROM levels, shared),

@@ -26,9 +26,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest doc_id, of each group of near duplicates.
 
-    Rows without doc_id stay; rows that share a doc_id stay or go together.
+    Rows without doc_id stay; rows that share a doc_id all stay if one of them does.
     """
-    gone = near_duplicates.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    found = near_duplicates.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = found.where("not kept").select("doc_id")
     return docs.join(materialise(gone, "gone"), "doc_id", "left_anti").select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )

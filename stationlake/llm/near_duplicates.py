@@ -178,8 +178,8 @@ def near_duplicates(
     Returns per row of ``docs (doc_id, text)``: ``doc_id``, ``n_shingles``, ``component_id``
     (smallest doc_id reachable), ``kept`` (is it that one).  A null or empty text, or one
     without words, has no shingles and stays alone.  A row without doc_id is never linked:
-    its component_id is null and it is kept.  Rows with equal doc_id are one document with
-    several texts, linked if one of them is.  No rows give no rows.  Other columns are ignored.
+    its component_id is null and it is kept.  Rows with equal doc_id go each by its own text;
+    texts whose smallest doc_id is the same count as one.  No rows give no rows.  Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = materialise(
@@ -279,7 +279,6 @@ def near_duplicates(
         .select("digest", "n", F.coalesce("component_id", "id").alias("of")),
         "classes",
     )
-    # rows that share a doc_id share the smallest component of their texts
     alone = signed.select("doc_id", "n", "digest")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
     return alone.join(classes, ["digest", "n"], "left").select(

@@ -51,7 +51,8 @@ class Tree:
             return self._leaf(ids)
         plane = (pair[0] - pair[1]) / np.linalg.norm(pair[0] - pair[1])
         at = points[ids] @ plane
-        cut = float(np.median(at))
+        middle = np.sort(at)[len(at) // 2 - 1 : len(at) // 2 + 1]
+        cut = float(middle.mean())  # between two points, so that rounding moves none
         right = at >= cut
         if right.all() or not right.any():
             return self._leaf(ids)

@@ -47,7 +47,7 @@ def number(c: Column, to: str = "float") -> Column:
     """Number from text; text that is no finite number gives NULL."""
     parsed = F.nullif(F.trim(c.cast("string")), F.lit("")).try_cast(to)
     if to in ("float", "double"):
-        return F.when(~F.isnan(parsed), parsed)
+        return F.when(~F.isnan(parsed) & (F.abs(parsed) < float("inf")), parsed)
     return parsed
 
 

@@ -14,23 +14,22 @@ HOUR = "hour_ts"
 
 
 def floor_time(ts: Column, unit: str) -> Column:
-    """``date_trunc`` that stays without zone."""
-    return F.date_trunc(unit, ts).cast("timestamp_ntz")
+    """Start of the day or hour, from the parts of ``ts``, so that no zone comes in."""
+    day = ts.cast("date").cast("timestamp_ntz")
+    if unit == "day":
+        return day
+    if unit == "hour":
+        return day + F.make_dt_interval(hours=F.hour(ts))
+    raise ValueError(f"unit {unit} is not known")
 
 
 def most_frequent(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Most frequent non-null text per group, ties to the smallest.
 
-    Counting by value first keeps the state of a group small and lets map tasks
-    combine equal values.
+    One aggregate for all columns: map tasks count equal values, a group holds one count per
+    distinct text.
     """
-    tables = []
-    for c in columns:
-        counts = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
-        # the smallest of (−count, text) is the most frequent text, ties to the smallest
-        best = F.min(F.struct((-F.col("_n")).alias("_n"), F.col(c).alias("_c")))
-        tables.append(counts.groupBy(*keys).agg(best["_c"].alias(c)))
-    return reduce(lambda a, b: a.join(b, keys, "full"), tables)
+    return df.groupBy(*keys).agg(*[F.mode(c, True).alias(c) for c in columns])
 
 
 def daily_station_aggregate(
@@ -38,14 +37,12 @@ def daily_station_aggregate(
 ) -> DataFrame:
     """Mean of numbers and mode of texts per key; rows with a NULL key are dropped."""
     known = df.dropna(subset=keys)
-    means = known.groupBy(*keys).agg(
+    return known.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         *([F.min(ts).alias(ts)] if ts else []),
         *[F.avg(c).alias(c) for c in numeric],
+        *[F.mode(c, True).alias(c) for c in text],
     )
-    if not text:
-        return means
-    return means.join(most_frequent(known, keys, list(text)), keys, "left")
 
 
 AGGREGATES = {
@@ -195,18 +192,24 @@ def aggregation_stats(df: DataFrame, keys: list[str], columns: list[str], ts: st
 
 
 def dtype_report(df: DataFrame) -> DataFrame:
-    """Type and role of every column."""
+    """Type, role and number of values of every column."""
     roles = {
         **{c: "numeric" for c in [*MEASURES, "latitude", "longitude", "altitude"]},
         **{c: "categorical" for c in ["region", "state", "station", "wmo_code"]},
         **{c: "time" for c in ["ts", "obs_date"]},
     }
+    counted = df.agg(*[F.count(c).alias(c) for c in df.columns])
     rows = [
-        (name, kind, roles.get(name, "other"), name in REQUIRED) for name, kind in df.dtypes
+        F.struct(
+            F.lit(name).alias("column"),
+            F.lit(kind).alias("type"),
+            F.lit(roles.get(name, "other")).alias("role"),
+            F.lit(name in REQUIRED).alias("required"),
+            F.col(name).alias("values"),
+        )
+        for name, kind in df.dtypes
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "column string, type string, role string, required boolean"
-    )
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def daily_keys(df: DataFrame) -> list[str]:

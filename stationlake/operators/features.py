@@ -262,27 +262,41 @@ def encoder_decoder_windows(
 
 
 def _power_sums(laid, keys, column, rows, block_rows):
-    """Count and sums of powers 1..4 of the trailing frame, from running totals.
+    """Count and sums of powers 1..4 of the trailing frame, from totals of chunks.
 
-    Running totals and their value ``rows`` rows ago replace the frame, so the cost
-    does not grow with the frame.  Values are centred by the station mean first.
+    A frame is its chunk of ``rows`` rows so far and the rest of the earlier chunk, so the
+    cost does not grow with the frame and a wild value touches the frames of two chunks
+    only.  Values are centred by the mean of the station's finite values first.
     """
-    means = laid.groupBy(*keys).agg(F.avg(column).alias("_centre"))
+    finite = F.when(F.abs(column) < float("inf"), F.col(column))
+    means = laid.groupBy(*keys).agg(F.avg(finite).alias("_centre"))
     blocks = Blocks.of(attach_stored(laid, means, keys), keys, rows, 0, block_rows)
     x = F.col(column) - F.col("_centre")
     powers = {"n": F.col(column).isNotNull().cast("double"), "s1": x, "s2": x * x,
               "s3": x * x * x, "s4": x * x * x * x}
-    so_far = blocks.window.rowsBetween(Window.unboundedPreceding, 0)
-    totals = blocks.with_columns(
-        {f"_t_{k}": F.sum(F.coalesce(e, F.lit(0.0))).over(so_far) for k, e in powers.items()}
+    chunked = blocks.with_columns({"_part": F.expr(f"{POS} div {rows}L")})
+    by_chunk = Window.partitionBy(*blocks.keys, BLOCK, "_part")
+    start = Window.unboundedPreceding
+    ahead = by_chunk.orderBy(POS).rowsBetween(start, 0)
+    back = by_chunk.orderBy(F.col(POS).desc()).rowsBetween(start, 0)
+    values = {k: F.coalesce(e, F.lit(0.0)) for k, e in powers.items()}
+    totals = chunked.with_columns(
+        {f"_t_{k}": F.sum(e).over(ahead) for k, e in values.items()}
+        | {f"_r_{k}": F.sum(e).over(back) for k, e in values.items()}
     )
-    return totals.with_columns(
+    # the last row of a chunk has the whole chunk as its frame
+    ends = F.col(POS) % rows == rows - 1
+    summed = totals.with_columns(
         {
-            f"_{k}": F.col(f"_t_{k}")
-            - F.coalesce(F.lag(f"_t_{k}", rows).over(totals.window), F.lit(0.0))
+            f"_{k}": F.when(ends, F.col(f"_t_{k}")).otherwise(
+                F.col(f"_t_{k}")
+                + F.coalesce(F.lag(f"_r_{k}", rows - 1).over(totals.window), F.lit(0.0))
+            )
             for k in powers
         }
     )
+    helpers = ["_part", *[f"_{t}_{k}" for k in powers for t in "tr"]]
+    return Blocks(summed.df.drop(*helpers), summed.keys, summed.block_rows)
 
 
 def rolling_extremes(blocks: Blocks, column: str, rows: int, prefix: str) -> Blocks:
@@ -335,7 +349,7 @@ def rolling_stats(
         f"{prefix}_skew": F.when(~flat, sample_skewness(F.try_divide(m3, F.pow(m2, F.lit(1.5))), n)),
         f"{prefix}_kurt": F.when(~flat, sample_kurtosis(F.try_divide(m4, m2 * m2) - 3, n)),
     }
-    helpers = [f"_{t}{k}" for k in ("n", "s1", "s2", "s3", "s4") for t in ("", "t_")]
+    helpers = [f"_{k}" for k in ("n", "s1", "s2", "s3", "s4")]
     return blocks.with_columns({k: F.when(n > 0, e) for k, e in stats.items()}).home().drop(
         "_centre", *helpers
     )
@@ -359,7 +373,7 @@ def rolling_zscore_outliers(
     score = F.when(
         deviation > 1e-9, F.try_divide(F.col(column) - F.col("_centre") - mean, deviation)
     )
-    helpers = [f"_{t}{k}" for k in ("n", "s1", "s2", "s3", "s4") for t in ("", "t_")]
+    helpers = [f"_{k}" for k in ("n", "s1", "s2", "s3", "s4")]
     flagged = blocks.with_columns({"zscore": score}).home().drop("_centre", *helpers)
     is_outlier = F.coalesce(F.abs("zscore") > limit, F.lit(False))
     return flagged.withColumn("is_outlier", is_outlier).withColumn(

@@ -9,6 +9,7 @@ stations per Arrow batch, and runs the recursion over the last few values.
 from __future__ import annotations
 
 from dataclasses import dataclass
+import warnings
 from functools import reduce
 from itertools import product
 
@@ -29,9 +30,12 @@ from stationlake.operators.ordered import (
     exact_quantiles,
     over_rows,
 )
+from stationlake.session import materialise
 
 FORECAST_COLUMNS = ["model", "forecast", "lower_bound", "upper_bound"]
 Z95 = 1.96
+#: Values of a horizon that one Python batch holds.
+HELD_VALUES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -205,37 +209,41 @@ def grid_search_cv(
         )
         size = F.floor(F.col(SIZE) / (folds + 1))
         head = F.col(SIZE) - folds * size
-        # segment 0 is the first training part, segment i the test block of fold i;
-        # the gap rows before a block form segments of their own
+        # segment 0 is the first training part, segment i the test block of fold i
         segment = F.when(F.col(POS) < head, F.lit(0)).otherwise(
             F.floor((F.col(POS) - head) / size).cast("int") + 1
         )
-        next_start = head + segment * size
-        in_gap = (F.col(POS) >= next_start - gap) & (segment < folds)
+        # a row is trained on from the fold whose test block begins at least ``gap`` rows later
+        first = F.greatest(F.lit(1), F.floor((F.col(POS) + gap - head) / size).cast("int") + 2)
         moments = (
-            rows.filter(complete)
+            rows.filter(complete & (size > 0))
             .withColumn("_segment", segment)
-            .withColumn("_in_gap", in_gap.cast("int"))
-            .groupBy(*keys, "_segment", "_in_gap")
+            .withColumn("_first", first)
+            .groupBy(*keys, "_segment", "_first")
             .agg(*[e.alias(n) for n, e in _products(lags).items()])
         )
         tables.append(_score_orders(moments, grid, keys, members, lags, folds))
     scores = reduce(DataFrame.unionByName, tables)
-    return scores.groupBy(*keys, "order_name").agg(
+    scored = scores.groupBy(*keys, "order_name").agg(
         F.avg("rmse").alias("rmse"), F.count(F.lit(1)).alias("folds")
     )
+    scored = materialise(scored, "scores")
+    # a station that no fold could score is there too, with no order and no folds
+    left, right = grid.select(*keys).distinct(), scored.select(*keys).distinct()
+    there = right.select(*[F.col(k).alias(f"_scored_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_scored_{k}")) for k in keys])
+    unscored = left.join(there, same, "left_anti").withColumn("folds", F.lit(0).cast("long"))
+    return scored.unionByName(unscored, allowMissingColumns=True)
 
 
 def _score_orders(moments, grid, keys, members, lags, folds):
     names = [c for c in moments.columns if c.startswith("m_")]
-    # (folds + 1) * 2 small rows per station
+    # a few small rows per station and fold
     train_of = moments.select(
         *keys,
-        F.explode(F.sequence(F.col("_segment") + 1, F.lit(folds + 1))).alias("fold"),
-        "_segment",
-        "_in_gap",
+        F.explode(F.sequence(F.col("_first"), F.greatest("_first", F.lit(folds)))).alias("fold"),
         *names,
-    ).filter((F.col("fold") <= folds) & ~((F.col("_in_gap") == 1) & (F.col("_segment") == F.col("fold") - 1)))
+    ).filter(F.col("fold") <= folds)
     train = train_of.groupBy(*keys, "fold").agg(*[F.sum(n).alias(n) for n in names])
     test = (
         moments.filter("_segment >= 1")
@@ -318,11 +326,14 @@ def predict_in_sample(
 
 
 def forecast_horizon(
-    grid: DataFrame, keys: list[str], column: str, fitted: DataFrame, order: Order, steps: int
+    grid: DataFrame, keys: list[str], column: str, fitted: DataFrame, order: Order, steps: int,
+    unit: str = "hours",
 ) -> DataFrame:
-    """``steps`` future hours per station by recursion over the last few values.
+    """``steps`` future hours (or ``unit="days"``) per station by recursion over the last few values.
 
-    Only the last ``order.memory`` values of a station leave the JVM.
+    Only the last ``order.memory`` values of a station leave the JVM.  ``status`` is ``ok``; a
+    station that can't be forecast has one row that says why: ``gap at the end`` if one of
+    those values is missing, ``no model`` if ``fitted`` has none for it.
     """
     memory = max(order.memory, 1)
     tail = (
@@ -335,9 +346,12 @@ def forecast_horizon(
             ).alias("tail"),
             F.max(HOUR).alias("_end"),
         )
-        .filter((F.size("tail") == memory) & ~F.exists("tail", lambda v: v.isNull()))
     )
-    state = attach(tail, fitted.select(*keys, "intercept", "coefficients", "sigma"), keys, "inner")
+    models = fitted.select(*keys, "intercept", "coefficients", "sigma")
+    whole = (F.size("tail") == memory) & ~F.exists("tail", lambda v: v.isNull())
+    status = F.when(~whole, "gap at the end").when(F.col("sigma").isNull(), "no model").otherwise("ok")
+    every = materialise(attach(tail, models, keys, "left").withColumn("status", status), "tails")
+    state = every.filter("status = 'ok'")
     lags = order.lags
     taps = order.difference()
     schema = T.StructType(
@@ -349,10 +363,15 @@ def forecast_horizon(
         ]
     )
 
-    def recurse(batches):
+    def parts(batches):
+        # few enough stations that their steps fit in memory
+        most = max(1, HELD_VALUES // max(1, steps))
         for batch in batches:
-            if batch.empty:
-                continue
+            for start in range(0, len(batch), most):
+                yield batch.iloc[start : start + most].reset_index(drop=True)
+
+    def recurse(batches):
+        for batch in parts(batches):
             history = np.stack(batch["tail"].to_numpy()).astype(float)
             beta = np.array([list(c) for c in batch["coefficients"]], dtype=float).reshape(
                 len(batch), len(lags)
@@ -393,20 +412,24 @@ def forecast_horizon(
             out["spreads"] = list(spread)
             yield out
 
-    return (
-        state.mapInPandas(recurse, schema)
+    later = {unit: F.col("_step") + 1}
+    known = (
+        state.drop("status").mapInPandas(recurse, schema)
         .select(
             *keys, "_end", F.posexplode(F.arrays_zip("forecasts", "spreads")).alias("_step", "_f")
         )
         .select(
             *keys,
-            (F.col("_end") + F.make_dt_interval(hours=F.col("_step") + 1)).alias(HOUR),
+            (F.col("_end") + F.make_dt_interval(**later)).alias(HOUR),
             F.lit(order.name).alias("model"),
             F.col("_f.forecasts").alias("forecast"),
             (F.col("_f.forecasts") - Z95 * F.col("_f.spreads")).alias("lower_bound"),
             (F.col("_f.forecasts") + Z95 * F.col("_f.spreads")).alias("upper_bound"),
+            F.lit("ok").alias("status"),
         )
     )
+    without = every.filter("status <> 'ok'").select(*keys, F.lit(order.name).alias("model"), "status")
+    return known.unionByName(without, allowMissingColumns=True)
 
 
 def _with_bounds(rows: DataFrame, keys: list[str], column: str, model: str) -> DataFrame:
@@ -514,20 +537,65 @@ MODELS = {
 def run_models(
     grid: DataFrame, keys: list[str], column: str, models: dict | None = None
 ) -> DataFrame:
-    """Predictions of every model as one long frame.
+    """Predictions of every model as one long frame; the default ones in one pass.
 
     A model whose plan cannot be built (say, a column it needs is absent) is left
-    out; if that is true of all models, the error names the reasons.
+    out with a warning that names the reason; if that is true of all models, it is an error.
     """
-    frames, failures = [], []
-    for name, model in (models or MODELS).items():
+    if models is None:
+        return default_models(grid, keys, column)
+    frames, failures = try_models(grid, keys, column, models)
+    reasons = "; ".join(f"{name}: {reason}" for name, reason in failures.items())
+    if not frames:
+        raise ValueError("no model could be planned: " + reasons)
+    if failures:
+        warnings.warn(f"models left out: {reasons}", stacklevel=2)
+    return reduce(DataFrame.unionByName, frames)
+
+
+def try_models(
+    grid: DataFrame, keys: list[str], column: str, models: dict
+) -> tuple[list[DataFrame], dict[str, str]]:
+    """Predictions of the models that could be planned, and the reasons of the others by name."""
+    frames, failures = [], {}
+    for name, model in models.items():
         try:
             frames.append(model(grid, keys, column).withColumn("model", F.lit(name)))
         except Exception as error:  # isolate one model's failure from the others
-            failures.append(f"{name}: {error}")
-    if not frames:
-        raise ValueError("no model could be planned: " + "; ".join(failures))
-    return reduce(DataFrame.unionByName, frames)
+            failures[name] = str(error)
+    return frames, failures
+
+
+def default_models(
+    grid: DataFrame, keys: list[str], column: str, season: int = 24, rows: int = 24,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The three models of `MODELS` with one shuffle of the rows and one of their residuals."""
+
+    def forecasts(w):
+        return {
+            "seasonal_naive": F.lag(column, season).over(w),
+            "moving_average": F.avg(column).over(w.rowsBetween(-rows, -1)),
+            "persistence": F.lag(column).over(w),
+        }
+
+    wide = over_rows(grid, keys, max(season, rows), 0, forecasts, block_rows)
+    each = F.array(
+        *[F.struct(F.lit(m).alias("model"), F.col(m).alias("forecast")) for m in MODELS]
+    )
+    long = wide.select(*keys, HOUR, POS, column, F.inline(each)).filter("forecast is not null")
+    long = materialise(long, "model-rows")
+    spread = long.groupBy(*keys, "model").agg(
+        F.stddev_pop(F.col(column) - F.col("forecast")).alias("_sigma")
+    )
+    half = Z95 * F.col("_sigma")
+    return (
+        attach_stored(long, spread, [*keys, "model"])
+        .withColumns(
+            {"lower_bound": F.col("forecast") - half, "upper_bound": F.col("forecast") + half}
+        )
+        .select(*keys, HOUR, POS, column, *FORECAST_COLUMNS)
+    )
 
 
 def latest_version(runs: DataFrame, keys: list[str], run_ts: str = "run_ts") -> DataFrame:

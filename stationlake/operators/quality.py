@@ -29,15 +29,18 @@ def require_rows(df: DataFrame) -> DataFrame:
 def missing_rate_report(
     df: DataFrame, keys: list[str], target: str, limit: float = 0.2
 ) -> DataFrame:
-    """Null rate, warning and score per station; the row with NULL keys is the total."""
+    """Null rate, warning and score per station; ``is_total`` marks the row of all stations."""
     per_key = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(target).isNull()).alias("missing")
     )
     total = per_key.agg(F.sum("rows").alias("rows"), F.sum("missing").alias("missing"))
-    both = per_key.unionByName(total, allowMissingColumns=True)
+    both = per_key.withColumn("is_total", F.lit(False)).unionByName(
+        total.withColumn("is_total", F.lit(True)), allowMissingColumns=True
+    )
     rate = F.col("missing") / F.col("rows")
     return both.select(
         *keys,
+        "is_total",
         "rows",
         "missing",
         rate.alias("missing_rate"),
@@ -142,7 +145,7 @@ def validation_report(
     # text that is no number counts as missing here
     as_number = df.withColumn(target, F.trim(target).try_cast("double"))
     per_key = missing_rate_report(as_number, keys, target, limit)
-    is_total = reduce(lambda a, b: a & b, [F.col(k).isNull() for k in keys])
+    is_total = F.col("is_total")
     overall = per_key.agg(
         F.coalesce(F.max(F.when(is_total, F.col("rows"))), F.lit(0)).alias("rows"),
         F.max(F.when(is_total, F.col("missing_rate"))).alias("missing_rate"),

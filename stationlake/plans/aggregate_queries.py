@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stationlake.operators import aggregates, quality
+from stationlake.operators import aggregates, cleaning, quality
 from stationlake.operators.ordered import lay_out
 from stationlake.plans.registry import big, query, sql_stamp, stamp, t, tidy
 from stationlake.plans.standins import (
@@ -141,20 +141,22 @@ def aggregation_stats(spark, sf_dir):
     return stats.withColumn("temp_c_null_ratio", tidy("temp_c_null_ratio"))
 
 
-@query("dtype_report", """SELECT * FROM (VALUES
- ('station', 'string', 'categorical', false), ('user_id', 'bigint', 'other', false),
- ('reading_id', 'bigint', 'other', false), ('ts', 'timestamp_ntz', 'time', false),
- ('temp_c', 'double', 'numeric', true), ('humidity', 'double', 'numeric', true),
- ('precip_mm', 'double', 'numeric', true), ('category', 'string', 'other', false))
- AS r("column", "type", "role", "required") WHERE EXISTS (SELECT 1 FROM events)""")
+REPORTED = (
+    ("station", "string", "categorical", "false"), ("user_id", "bigint", "other", "false"),
+    ("reading_id", "bigint", "other", "false"), ("ts", "timestamp_ntz", "time", "false"),
+    ("temp_c", "double", "numeric", "true"), ("humidity", "double", "numeric", "true"),
+    ("precip_mm", "double", "numeric", "true"), ("category", "string", "other", "false"),
+)
+
+
+@query("dtype_report", CLEARED_SQL + " UNION ALL ".join(
+    f""" SELECT '{c}' AS "column", '{kind}' AS "type", '{role}' AS "role", {needed} AS "required",
+ count({c}) AS "values" FROM cleared""" for c, kind, role, needed in REPORTED))
 def dtype_report(spark, sf_dir):
-    rows = series(spark, sf_dir)
-    # the report describes a table that has rows
-    seen = rows.agg(F.count(F.lit(1)).alias("_n"))
-    return aggregates.dtype_report(rows).crossJoin(F.broadcast(seen)).filter("_n > 0").drop("_n")
+    return aggregates.dtype_report(cleared(spark, sf_dir))
 
 
-@query("missing_rate_report", CLEARED_SQL + f""" SELECT station, count(*) AS "rows",
+@query("missing_rate_report", CLEARED_SQL + f""" SELECT station, grouping(station) = 1 AS is_total, count(*) AS "rows",
  count(*) FILTER (temp_c IS NULL) AS missing, {t('count(*) FILTER (temp_c IS NULL) / count(*)')} AS missing_rate,
  count(*) FILTER (temp_c IS NULL) / count(*) > 0.2 AS warning,
  {t('1 - count(*) FILTER (temp_c IS NULL) / count(*)')} AS quality_score
@@ -259,3 +261,43 @@ def validation_report(spark, sf_dir):
         F.concat_ws("; ", "warnings").alias("warnings"),
         tidy("missing_rate").alias("missing_rate"), tidy("quality_score").alias("quality_score"),
     )
+
+
+# stations without a name
+UNNAMED_SQL = """unnamed AS (SELECT CASE WHEN event_type = 'click' THEN NULL ELSE event_type END AS station,
+  event_id, CASE WHEN k < 25 THEN NULL ELSE value END AS temp_c,
+  CASE WHEN k < 50 THEN NULL WHEN k < 70 THEN 'b' ELSE 'a' END AS sensor,
+  CASE WHEN k % 3 = 0 THEN NULL ELSE 'x' || (k % 5) END AS place
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))"""
+
+
+def unnamed(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.when(F.col("event_type") != "click", F.col("event_type")).alias("station"),
+        "event_id",
+        F.when(k >= 25, F.col("value")).alias("temp_c"),
+        F.when(k >= 70, "a").when(k >= 50, "b").alias("sensor"),
+        F.when(k % 3 != 0, F.concat(F.lit("x"), (k % 5).cast("string"))).alias("place"),
+    )
+
+
+@query("missing_rate_unnamed_station", f"""WITH {UNNAMED_SQL}
+ SELECT station, grouping(station) = 1 AS is_total, count(*) AS "rows",
+  {t('count(*) FILTER (temp_c IS NULL) / count(*)')} AS missing_rate FROM unnamed GROUP BY ROLLUP (station)""")
+def missing_rate_unnamed_station(spark, sf_dir):
+    report = quality.missing_rate_report(unnamed(spark, sf_dir), ["station"], "temp_c")
+    return report.select("station", "is_total", "rows", tidy("missing_rate").alias("missing_rate"))
+
+
+@query("fill_mode_unnamed_station", f"""WITH {UNNAMED_SQL},
+ c AS (SELECT station, 'sensor' AS what, sensor AS v, count(*) AS n FROM unnamed WHERE sensor IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT station, 'place', place, count(*) FROM unnamed WHERE place IS NOT NULL GROUP BY ALL),
+ m AS (SELECT station, what, v FROM c QUALIFY row_number() OVER (PARTITION BY station, what ORDER BY n DESC, v) = 1)
+ SELECT event_id, coalesce(u.sensor, a.v) AS sensor, coalesce(u.place, b.v) AS place FROM unnamed u
+  LEFT JOIN m a ON a.what = 'sensor' AND a.station IS NOT DISTINCT FROM u.station
+  LEFT JOIN m b ON b.what = 'place' AND b.station IS NOT DISTINCT FROM u.station""")
+def fill_mode_unnamed_station(spark, sf_dir):
+    """Two text columns of stations of which one has no name: no row is lost or doubled."""
+    filled = cleaning.fill_mode(unnamed(spark, sf_dir), ["station"], ["sensor", "place"])
+    return filled.select("event_id", "sensor", "place")

@@ -479,3 +479,52 @@ def select_and_drop_columns(spark, sf_dir):
     )
     kept = station_files.select_columns(rows, ["event_id", "station", "obs_hour", "absent"])
     return station_files.drop_hour(kept)
+
+
+@query("station_file_rejects", """SELECT event_type AS station, 'no header line' AS reason, count(DISTINCT strftime(ts, '%Y%m%d')) AS files,
+ count(*) AS "lines" FROM events WHERE event_type IN ('click', 'view') AND day(ts) % 2 = 0 GROUP BY 1""")
+def station_file_rejects(spark, sf_dir):
+    """Files whose header is missing or has other words are named, with the lines they hold."""
+    lines = table(spark, sf_dir, "events").select(
+        F.concat_ws("/", F.lit("files"), "event_type", F.date_format("ts", "yyyyMMdd")).alias("path"),
+        "event_type", F.dayofmonth("ts").alias("day"), _data_line().alias("line"),
+    )
+    bad = F.col("event_type").isin("click", "view") & (F.col("day") % 2 == 0)
+    heads = lines.select("path", F.when(~bad, F.lit(HEADER)).otherwise("ESTACAO:;X").alias("line")).distinct()
+    found = station_files.rejected_files(heads.union(lines.select("path", "line")))
+    return found.groupBy(F.split_part("path", F.lit("/"), F.lit(2)).alias("station"), "reason").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("lines").alias("lines")
+    )
+
+
+@query("csv_by_name", EVENT_ROW_SQL)
+def csv_by_name(spark, sf_dir):
+    """Two files whose headers name the columns in different order."""
+    path = scratch_path(spark, "csv-by-name")
+    rows = _event_rows(spark, sf_dir)
+    even = F.col("event_id") % 2 == 0
+    rows.where(even).write.option("header", "true").csv(path)
+    rows.where(~even).select("value", "year", "station", "event_id").write.mode("append").option(
+        "header", "true").csv(path)
+    return _event_out(tables.read_typed_csv(spark, path, EVENT_ROW))
+
+
+@query("attach_station_metadata", f"""SELECT l_orderkey, l_linenumber, s_name, {t('s_acctbal')} AS s_acctbal
+ FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey""")
+def attach_station_metadata(spark, sf_dir):
+    """Suppliers stand in for stations, their lines for readings."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    stations = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("l_suppkey"), "s_name", tidy("s_acctbal").alias("s_acctbal")
+    )
+    found = station_files.attach_station_metadata(rows, stations, ["l_suppkey"])
+    return found.select("l_orderkey", "l_linenumber", "s_name", "s_acctbal")
+
+
+@query("number_without_infinities", f"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE {t('CAST(value AS FLOAT)')} END AS value FROM events""")
+def number_without_infinities(spark, sf_dir):
+    """Texts that stand for no finite number are NULL."""
+    odd = F.element_at(F.array(*[F.lit(x) for x in ("inf", "-Infinity", "1e999", "NaN")]), (F.col("event_id") % 4 + 1).cast("int"))
+    raw = F.when(F.col("event_id") % 3 == 0, odd).otherwise(F.col("value").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", text.number(raw).alias("value"))
+    return rows.select("event_id", tidy("value").alias("value"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stationlake.operators.cleaning import clean_row
 from stationlake.plans.registry import query, sql_stamp, stamp, t, tidy
 from stationlake.plans.standins import CLEARED_SQL, STATION, readings, table
 from stationlake.session import scratch_path
@@ -17,11 +16,7 @@ c AS (SELECT * REPLACE (CASE WHEN temp_c BETWEEN -40 AND 50 THEN temp_c END AS t
 
 def _source(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    return readings(streaming.read_stream(spark, sf_dir, schema, "events.parquet"))
-
-
-def _batch(spark, sf_dir):
-    return clean_row(readings(table(spark, sf_dir, "events")), ["temp_c"])
+    return readings(streaming.stream_table(spark, sf_dir, "events", schema))
 
 
 def _run(spark, stream, label):
@@ -30,24 +25,20 @@ def _run(spark, stream, label):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _windows(spark, sf_dir, unit, aggregates, width):
-    """Closed windows from the stream; the last ones, still open, from a batch."""
-    stream = streaming.windowed(
-        streaming.stream_clean(_source(spark, sf_dir), ["temp_c"]), STATION, "ts", width, aggregates
-    )
-    closed = _run(spark, stream, f"stream-{unit}")
-    batch = (
-        _batch(spark, sf_dir)
-        .groupBy(*STATION, F.date_trunc(unit, F.col("ts")).cast("timestamp_ntz").alias("window_start"))
-        .agg(*[e.alias(n) for n, e in aggregates.items()])
-    )
-    return streaming.flush_open(closed, batch, [*STATION, "window_start"])
+# windows that end at or before the watermark, one hour behind the last reading; what a stream has
+# written when its data end
+CLOSED = "HAVING min(date_trunc('{0}', ts)) + INTERVAL 1 {0} <= (SELECT max(ts) - INTERVAL 1 HOUR FROM c)"
 
 
 @query("stream_daily_aggregate", CLEANED_SQL + f""" SELECT station, {sql_stamp("date_trunc('day', ts)")} AS obs_date, count(*) AS "rows",
- {t('avg(temp_c)')} AS temp_c_mean, {t('min(temp_c)')} AS temp_c_min, {t('max(temp_c)')} AS temp_c_max FROM c GROUP BY 1, 2""")
+ {t('avg(temp_c)')} AS temp_c_mean, {t('min(temp_c)')} AS temp_c_min, {t('max(temp_c)')} AS temp_c_max FROM c GROUP BY 1, 2
+ {CLOSED.format('day')}""")
 def stream_daily_aggregate(spark, sf_dir):
-    days = _windows(spark, sf_dir, "day", streaming.daily_aggregates(["temp_c"]), "1 day")
+    """The days that the stream itself has closed."""
+    cleaned = streaming.stream_clean(_source(spark, sf_dir), ["temp_c"])
+    days = _run(
+        spark, streaming.stream_daily_aggregate(cleaned, STATION, ["temp_c"]), "stream-day"
+    )
     return days.select(
         "station", stamp("window_start").alias("obs_date"), "rows",
         *[tidy(f"temp_c_{f}").alias(f"temp_c_{f}") for f in ("mean", "min", "max")],
@@ -55,14 +46,17 @@ def stream_daily_aggregate(spark, sf_dir):
 
 
 @query("stream_hourly_aggregate", CLEANED_SQL + f""" SELECT station, {sql_stamp("date_trunc('hour', ts)")} AS hour_ts,
- {t('avg(temp_c)')} AS temp_c_mean, {t('stddev_samp(temp_c)')} AS temp_c_std, {t('sum(precip_mm)')} AS precip_mm_sum FROM c GROUP BY 1, 2""")
+ {t('avg(temp_c)')} AS temp_c_mean, {t('stddev_samp(temp_c)')} AS temp_c_std, {t('sum(precip_mm)')} AS precip_mm_sum FROM c GROUP BY 1, 2
+ {CLOSED.format('hour')}""")
 def stream_hourly_aggregate(spark, sf_dir):
+    """The hours that the stream itself has closed."""
     aggregates = {
         "temp_c_mean": F.avg("temp_c"),
         "temp_c_std": F.stddev_samp("temp_c"),
         "precip_mm_sum": F.sum("precip_mm"),
     }
-    hours = _windows(spark, sf_dir, "hour", aggregates, "1 hour")
+    cleaned = streaming.stream_clean(_source(spark, sf_dir), ["temp_c"])
+    hours = _run(spark, streaming.stream_hourly_aggregate(cleaned, STATION, aggregates), "stream-hour")
     return hours.select(
         "station", stamp("window_start").alias("hour_ts"), *[tidy(c).alias(c) for c in aggregates]
     )
@@ -78,10 +72,16 @@ def stream_clean(spark, sf_dir):
 
 @query("stream_resume", CLEANED_SQL + f""" SELECT reading_id, {t('temp_c')} AS temp_c FROM c""")
 def stream_resume(spark, sf_dir):
-    """A second run from the same checkpoint finds nothing new and adds no row."""
-    path, checkpoint = scratch_path(spark, "resume"), scratch_path(spark, "resume-checkpoint")
-    for _ in range(2):
-        cleaned = streaming.stream_clean(_source(spark, sf_dir), ["temp_c"])
+    """Readings that arrive between two runs are in the result, each once."""
+    source, path, checkpoint = (
+        scratch_path(spark, f"resume-{n}") for n in ("source", "rows", "checkpoint")
+    )
+    events = table(spark, sf_dir, "events")
+    for part in (F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0):
+        events.where(part).write.mode("append").parquet(source)
+        cleaned = streaming.stream_clean(
+            readings(streaming.read_stream(spark, source, events.schema)), ["temp_c"]
+        )
         streaming.run_to_end(cleaned.select("reading_id", "temp_c"), path, checkpoint)
     rows = spark.read.schema("reading_id long, temp_c double").parquet(path)
     return rows.select("reading_id", tidy("temp_c").alias("temp_c"))

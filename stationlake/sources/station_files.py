@@ -72,12 +72,27 @@ def line_kind(line: Column) -> Column:
     )
 
 
+def rejected_files(lines: DataFrame) -> DataFrame:
+    """``path, reason, lines``: files that `parse_station_lines` can't read, with their data lines.
+
+    Without a header line nobody knows what the cells of a row mean.  Files without any data
+    line are named too.
+    """
+    kind = line_kind(F.col("line"))
+    per_file = lines.groupBy("path").agg(
+        F.count_if(kind == "header").alias("headers"), F.count_if(kind == "data").alias("lines")
+    )
+    reason = F.when(F.col("headers") == 0, "no header line").when(F.col("lines") == 0, "no data line")
+    return per_file.select("path", reason.alias("reason"), "lines").where("reason is not null")
+
+
 def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFrame:
     """Readings in canonical columns from ``(path, line)`` rows.
 
     ``year`` is the year of the archive; without it the year of the file name counts,
     and where that has none, the year of the reading.
     Text that does not convert becomes NULL, a row of the wrong length is repaired.
+    Files without a header line give no rows; `rejected_files` names and counts them.
     """
     tagged = lines.withColumn("kind", line_kind(F.col("line")))
     key = header_key(F.regexp_extract("line", r"^([^:]*):", 1))
@@ -95,6 +110,7 @@ def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFra
             for k, name in PREAMBLE_KEYS.items()
         ],
     )
+    files = files.where("header is not null")
     header = F.transform(fields(F.col("header")), header_key)
     files = files.select("path", header.alias("header"), *[f"_{n}" for n in PREAMBLE_KEYS.values()])
     files = files.select(

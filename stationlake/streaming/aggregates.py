@@ -15,6 +15,15 @@ def read_stream(
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
 
+def stream_table(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """A table of ``folder`` as a stream, whether it is one file or a folder of files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(hadoop).isDirectory():
+        return read_stream(spark, f"{folder}/{name}.parquet", schema)
+    return read_stream(spark, folder, schema, f"{name}.parquet")
+
+
 def stream_clean(df: DataFrame, columns: list[str]) -> DataFrame:
     """Stateless cleaning; the same code as for a batch frame."""
     return clean_row(df, columns)
@@ -24,18 +33,21 @@ def windowed(
     df: DataFrame, keys: list[str], ts: str, width: str, aggregates: dict[str, Column],
     late: str = "1 hour",
 ) -> DataFrame:
-    """Tumbling windows per station; a reading later than ``late`` is dropped."""
-    timed = df.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark(
+    """Tumbling windows per station; a reading later than ``late`` is dropped.
+
+    A watermark needs an instant, so times without zone are taken as UTC on the way in and out:
+    no window depends on the zone of the session.
+    """
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col(ts).cast("timestamp_ntz"))
+    timed = df.withColumn("_event_time", F.timestamp_micros(micros)).withWatermark(
         "_event_time", late
     )
+    started = epoch + F.make_dt_interval(secs=F.unix_seconds("_w.start"))
     return (
         timed.groupBy(F.window("_event_time", width).alias("_w"), *keys)
         .agg(*[e.alias(n) for n, e in aggregates.items()])
-        .select(
-            *keys,
-            F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
-            *aggregates,
-        )
+        .select(*keys, started.alias("window_start"), *aggregates)
     )
 
 
@@ -82,5 +94,7 @@ def flush_open(closed: DataFrame, batch: DataFrame, keys: list[str]) -> DataFram
 
     Only used at the end of the data, when no further reading can come.
     """
-    still_open = batch.join(closed.select(*keys), keys, "left_anti")
+    there = closed.select(*[F.col(k).alias(f"_closed_{k}") for k in keys])
+    same = [batch[k].eqNullSafe(there[f"_closed_{k}"]) for k in keys]
+    still_open = batch.join(there, same, "left_anti")
     return closed.unionByName(still_open.select(closed.columns))

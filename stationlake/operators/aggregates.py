@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,21 +120,21 @@ def resample_hourly_mean(
 
 def describe(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Count, mean, std, min, quartiles and max per numeric column, one row each."""
-    per_column = []
-    for c in columns:
-        basic = df.groupBy(*keys).agg(
-            F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
-        )
-        quartiles = exact_quantiles(df, keys, c, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-        per_column.append(
-            attach(basic, quartiles, keys).select(*keys, F.lit(c).alias("column"), "count", "mean",
-                                                  "std", "min", "p25", "p50", "p75", "max")
-        )
-    return reduce(DataFrame.unionByName, per_column)
+    named = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in columns]
+    # one row per value, so that all columns share one aggregate and one layout
+    stacked = df.select(*keys, F.inline(F.array(*named)))
+    by = [*keys, "column"]
+    basic = stacked.groupBy(*by).agg(
+        F.count("_v").alias("count"),
+        F.avg("_v").alias("mean"),
+        F.stddev_samp("_v").alias("std"),
+        F.min("_v").alias("min"),
+        F.max("_v").alias("max"),
+    )
+    quartiles = exact_quantiles(stacked, by, "_v", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return attach(basic, quartiles, by).select(
+        *by, "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+    )
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from stationlake.operators.ordered import (
     over_rows,
 )
 from stationlake.schema import SENTINELS, VALID_RANGES, CleaningSettings, numeric_columns
+from stationlake.session import materialise
 
 
 def null_sentinels(
@@ -160,13 +161,27 @@ def fill_seasonal_mean(
 
 
 def fill_column_mean(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """NULL becomes the mean of the station, or of all stations if it has no value."""
-    own = df.groupBy(*keys).agg(
-        *[F.avg(c).alias(f"_own_{c}") for c in columns],
+    """NULL becomes the mean of the station, or of all stations if it has no value.
+
+    Sums per station are written once; the mean of all stations comes from them.
+    """
+    sums = materialise(
+        df.groupBy(*keys).agg(
+            *[F.sum(F.col(c).cast("double")).alias(f"_sum_{c}") for c in columns],
+            *[F.count(c).alias(f"_count_{c}") for c in columns],
+        ),
+        "sums",
+    )
+    overall = sums.agg(
+        *[
+            F.try_divide(F.sum(f"_sum_{c}"), F.sum(f"_count_{c}")).alias(f"_all_{c}")
+            for c in columns
+        ]
     )
-    overall = df.agg(*[F.avg(c).alias(f"_all_{c}") for c in columns])
-    means = own.crossJoin(F.broadcast(overall)).select(
-        *keys, *[F.coalesce(f"_own_{c}", f"_all_{c}").alias(f"_mean_{c}") for c in columns]
+    own = {c: F.try_divide(F.col(f"_sum_{c}"), F.col(f"_count_{c}")) for c in columns}
+    # the other side is one row
+    means = sums.crossJoin(F.broadcast(overall)).select(
+        *keys, *[F.coalesce(own[c], F.col(f"_all_{c}")).alias(f"_mean_{c}") for c in columns]
     )
     return (
         attach_stored(df, means, keys)

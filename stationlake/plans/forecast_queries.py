@@ -132,12 +132,13 @@ h AS (SELECT station, end_ts + INTERVAL 1 HOUR * i AS hour_ts, a * (1 - b ** i)
    1.96 * sigma * sqrt((1 - b ** (2 * i)) / (1 - b * b)) AS half
   FROM last JOIN fit USING (station), (SELECT unnest(generate_series(1, {STEPS})) AS i))
  SELECT station, {sql_stamp('hour_ts')} AS hour_ts, {t('forecast')} AS forecast, {t('forecast - half')} AS lower_bound,
-   {t('forecast + half')} AS upper_bound FROM h""")
+   {t('forecast + half')} AS upper_bound, 'ok' AS status FROM h
+ UNION ALL SELECT station, NULL, NULL, NULL, NULL, 'gap at the end' FROM filled WHERE pos = n - 1 AND temp_c IS NULL""")
 def forecast_horizon_ar(spark, sf_dir):
     hours = filled_grid(spark, sf_dir)
     fitted = forecasting.fit_seasonal_ar(hours, STATION, "temp_c", AR1)
     future = forecasting.forecast_horizon(hours, STATION, "temp_c", fitted, AR1, STEPS)
-    return future.select("station", stamp("hour_ts").alias("hour_ts"), *_bounds())
+    return future.select("station", stamp("hour_ts").alias("hour_ts"), *_bounds(), "status")
 
 
 @query("forecast_horizon_naive", FILLED_SQL + f""",

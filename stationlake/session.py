@@ -95,9 +95,26 @@ def scratch_root(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared scratch root."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this driver and return how many there were.
+
+    Only for the end of a job: frames that still read them fail afterwards.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        count += bool(path.getFileSystem(hadoop).delete(path, True))
+    return count
 
 
 def materialise(df, label: str):

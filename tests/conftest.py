@@ -5,9 +5,11 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from stationlake.session import local_session  # noqa: E402
+from stationlake.session import clear_scratch, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", "stationlake-tests")
+    session = local_session("8", "stationlake-tests")
+    yield session
+    clear_scratch(session)

@@ -195,3 +195,14 @@ def test_default_models_equal_the_single_ones(spark):
         )
 
     assert rows(one) == rows(each)
+
+
+def test_scratch_is_cleared(spark, monkeypatch, tmp_path):
+    from stationlake import session
+
+    monkeypatch.setattr(session, "_MADE", [])
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    assert session.materialise(spark.range(3), "kept").count() == 3
+    assert len(list(tmp_path.iterdir())) == 1
+    assert session.clear_scratch(spark) == 1
+    assert list(tmp_path.iterdir()) == []

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import partial
 
@@ -34,15 +35,20 @@ BOILERPLATE = frozenset(
     "menu head title object svg canvas audio video option datalist fieldset".split()
 )
 CONTENT = frozenset(("article", "main"))
-#: Words in class, id or role that mark an element as no part of an article.
+#: Words in class, id or role that mark an element as no part of an article; what comes behind
+#: "no-", "has-" or "with-" describes the element's surroundings.
+_MARKED = r"(?:^|[^a-z])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(?:{})(?![a-z])"
 MARKS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|"
-    r"header|masthead|footer|comments?|comment-\w+|replies|disqus|cookies?|consent|gdpr|notice|popup|"
-    r"modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
-    r"widget|pagination|pager|skip|search|toolbar|complementary|contentinfo|navigation|dialog|"
-    r"alert|form)(?![a-z])",
+    _MARKED.format(
+        r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebar|"
+        r"footer|comments?|comment-\w+|replies|disqus|cookies?|consent|gdpr|notices?|popup|modal|"
+        r"overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|"
+        r"widget|pagination|pager|skip|search|toolbar|complementary|contentinfo|dialog|alert"
+    ),
     re.I,
 )
+#: The head of a page, which inside an article is the article's own.
+HEADS = re.compile(_MARKED.format("header|masthead"), re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -67,6 +73,7 @@ class Token:
     kind: str  # "text" or the tag, with "/" before the name of an end tag
     text: str = ""
     marked: bool = False
+    head: bool = False
     score: float = 0.0
 
 
@@ -87,8 +94,9 @@ def tokens(page: str) -> list[Token]:
         name = found.group(2).lower()
         end = bool(found.group(1))
         attributes = _ATTRIBUTE.findall(found.group(3)) if not end else ()
-        marked = any(MARKS.search(" ".join(x[1:])) for x in attributes)
-        out.append(Token(("/" if end else "") + name, "", marked))
+        says = " ".join(value for x in attributes for value in x[1:])
+        marked, head = bool(MARKS.search(says)), name == "header" or bool(HEADS.search(says))
+        out.append(Token(("/" if end else "") + name, "", marked, head))
         if not end and name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.start() if close else len(page)
@@ -102,6 +110,7 @@ def useful(page: list[Token]) -> list[Token]:
     """
     out: list[Token] = []
     open_: list[str] = []
+    count: Counter[str] = Counter()  # of the names in ``open_``
     hidden = 0  # depth at which a boilerplate element began, 0 outside
     shown = True  # are the tags of that element kept
     for token in page:
@@ -110,9 +119,11 @@ def useful(page: list[Token]) -> list[Token]:
             if not hidden:
                 out.append(token)
         elif name.startswith("/"):
-            if name[1:] in open_:
-                while open_.pop() != name[1:]:
-                    pass
+            if count[name[1:]]:
+                closed = ""
+                while closed != name[1:]:
+                    closed = open_.pop()
+                    count[closed] -= 1
                 if hidden and len(open_) < hidden:
                     hidden = 0
                     if shown:
@@ -127,13 +138,15 @@ def useful(page: list[Token]) -> list[Token]:
                 continue
             if name == "p" and open_ and open_[-1] == "p":
                 open_.pop()  # a paragraph ends where the next begins
-            within = bool(CONTENT & set(open_))
+                count["p"] -= 1
+            within = any(count[c] for c in CONTENT)
             open_.append(name)
+            count[name] += 1
             if not hidden:
                 boiler = name in BOILERPLATE or (
                     token.marked and name not in ("body", "html", *CONTENT)
                 )
-                if boiler or (name == "header" and not within):
+                if boiler or (token.head and not within and name not in ("body", "html", *CONTENT)):
                     # what interrupts an article must not end it
                     hidden, shown = len(open_), not within
                 if not hidden or shown:

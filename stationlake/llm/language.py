@@ -254,7 +254,7 @@ def _label(batches, model: Model, carry: list[str]):
         for batch in slices(whole, "_text"):
             texts = [x or "" for x in batch.column("_text").to_pylist()]
             split = [x.lower().split() for x in texts]
-            if len(memo) > 1_000_000:
+            if len(memo) * max(1, len(languages)) > 4_000_000:
                 memo, table, letters = {}, table[:0], letters[:0]
             new = list(dict.fromkeys(w for ws in split for w in ws if w not in memo))
             if new and languages:

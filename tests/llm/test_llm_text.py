@@ -97,6 +97,15 @@ def test_page_without_article_and_bad_pages():
     ]
 
 
+def test_marks_of_elements():
+    weights = html.Weights(1.0, (), -0.1)
+    page = """<div class="page no-sidebar"><div class="site-header">Name of the site</div>
+    <article class="has-comments"><div class="article-header"><h1>Title</h1></div><p>Some text here.</p>
+    <div id="ad-3">Buy it</div><p>More.</p></article><div role="navigation">Older</div></div>"""
+    assert html.main_text(page, weights) == "Title\n\nSome text here.\n\nMore."
+    assert html.MARKS.search("reading") is None and html.MARKS.search("main-nav")
+
+
 def test_best_run_is_the_best_of_all_runs():
     rng = np.random.default_rng(1)
     for _ in range(50):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.functions.text import base_name, decode_bytes
+from stationlake.session import materialise
 from stationlake.sources.station_files import parse_station_lines
 
 LINES_PER_BATCH = 20_000
@@ -39,10 +40,11 @@ def archive_lines(archives: DataFrame) -> DataFrame:
     """``(path, year, line)`` of every ``.csv`` member of ``(path, content)`` archives.
 
     Members are unpacked as a stream; only the packed archive is held in memory.
-    The lines are spread again afterwards, since one archive is one task.
+    One archive is one task.  The lines are written once, so that later steps unpack
+    nothing and read them in splits.
     """
-    lines = archives.select("path", "content").mapInPandas(_lines, LINE_SCHEMA).hint("rebalance")
-    return lines.select(
+    lines = archives.select("path", "content").mapInPandas(_lines, LINE_SCHEMA)
+    return materialise(lines, "archive-lines").select(
         F.concat_ws("!", "archive", "member").alias("path"),
         F.regexp_extract(base_name(F.col("archive")), r"^([^.]*)", 1).try_cast("int").alias("year"),
         decode_bytes(F.col("line")).alias("line"),

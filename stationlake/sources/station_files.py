@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake.functions import text
-from stationlake.operators.ordered import attach
+from stationlake.operators.ordered import attach, attach_stored
 from stationlake.schema import HEADER_ALIASES, MEASURES, READING_TYPE
 
 # First words of the preamble lines, accents folded, and our names.
@@ -120,7 +120,8 @@ def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFra
         *station_metadata(F.col("path")),
         (text.file_year(F.col("path")) if year is None else year).cast("int").alias("_year"),
     )
-    rows = attach(
+    # one small row per file, stored: below the broadcast limit no line is shuffled
+    rows = attach_stored(
         tagged.filter(F.col("kind") == "data").select("path", "line"), files, ["path"], "inner"
     )
     # cells in the order of FILE_COLUMNS; arrays keep the generated code small

@@ -12,7 +12,7 @@ from stationlake.schema import READING_TYPE
 
 
 def read_typed_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType = READING_TYPE
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str = READING_TYPE
 ) -> DataFrame:
     """``.csv`` or ``.csv.gz`` with a header and explicit types, bound by column name.
 
@@ -20,6 +20,7 @@ def read_typed_csv(
     Columns of the schema that a file lacks are NULL.  A gzip file is one task, so its
     rows are spread again behind the scan; plain files are split by Spark and stay.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     parts = []
     for header, files in _headers(spark, path):
         known = {f.name.lower(): f for f in schema}

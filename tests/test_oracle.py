@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from stationlake.plans.catalogue import QUERIES
 from tools.check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -13,7 +14,7 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     ok, note = compare(spark, con, name, SF_DIR)
     assert ok, note

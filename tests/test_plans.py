@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from stationlake.operators.ordered import BLOCK
 from stationlake.plans import standins
+from stationlake.plans.catalogue import QUERIES
 from stationlake.sources import links, tables
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_global_window_and_no_python(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF_DIR))
     for line in plan.splitlines():

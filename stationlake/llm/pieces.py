@@ -27,6 +27,9 @@ UNIGRAM, BPE = 1, 2
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Text encoded at once, in bytes; ids and what the libraries keep take a hundred times as much.
+ENCODED_CHARS = 300_000
+
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
     value = shift = 0
@@ -219,7 +222,7 @@ def _encode(batches, data: bytes, threads: int, carry: list[str]):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
     pieces = tokenizer(data)
     for whole in batches:
-        for batch in slices(whole, "_text"):
+        for batch in slices(whole, "_text", ENCODED_CHARS):
             texts = [x or "" for x in batch.column("_text").to_pylist()]
             ids = pieces.encode(texts)
             theirs = _sentencepiece(data).encode(texts, num_threads=threads)

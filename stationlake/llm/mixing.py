@@ -193,20 +193,35 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFram
     at a source's end that is taken in part keeps the words taken, with their spaces.
     Rows without words take no room and stay once.
     """
-    whole = packed(docs).withColumn("row", F.monotonically_increasing_id())
-    whole = materialise(whole, "documents")
+    # rows are known by two hashes and their number among equal rows, so that no text is stored
+    # to keep a row number; texts are shuffled once
     field = F.col("_row").getField
-    rows = whole.select(
-        "row",
-        field("doc_id").alias("doc_id"),
-        field("source").alias("source"),
-        n_words(field("text")).alias("size"),
+    said = [field("doc_id"), field("source"), field("text")]
+    whole = packed(docs).withColumns(
+        {"_k1": F.xxhash64(*said), "_k2": F.xxhash64(F.lit(7), *reversed(said))}
+    )
+    rows = (
+        whole.select("_k1", "_k2", *[x.alias(n) for x, n in zip(said, ("doc_id", "source", "text"))])
+        .groupBy("_k1", "_k2", "doc_id", "source", n_words(F.col("text")).alias("size"))
+        .agg(F.count(F.lit(1)).cast("int").alias("equal"))
+        .withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("equal"))))
+        .withColumn("row", F.monotonically_increasing_id())
     )
     rows = materialise(rows, "rows")
-    _, pieces = mix(rows, mixture or Mixture())
-    chosen = pieces.groupBy("row", "pass").agg(F.sum("words").alias("_words"))
-    chosen = chosen.join(rows.select("row", "size"), "row").select("row", "_words", "size")
-    empty = rows.where("size = 0").select("row", F.lit(0).cast("long").alias("_words"), "size")
+    _, pieces = mix(rows.select("row", "doc_id", "source", "size"), mixture or Mixture())
+    taken = pieces.groupBy("row", "pass").agg(F.sum("words").alias("_words"))
+    known = [F.col("_k1").alias("_c1"), F.col("_k2").alias("_c2"), "nth", "_words", "size"]
+    chosen = taken.join(rows, "row").select(*known)
+    empty = rows.where("size = 0").withColumn("_words", F.lit(0).cast("long")).select(*known)
+    equal_rows = Window.partitionBy("_k1", "_k2").orderBy("_k1")
+    same = (
+        (F.col("_k1") == F.col("_c1"))
+        & (F.col("_k2") == F.col("_c2"))
+        & (F.col("_nth") - F.col("nth") == 0)
+    )
+    mixed = whole.withColumn("_nth", F.row_number().over(equal_rows)).join(
+        chosen.union(empty), same
+    )
     whole_row = F.col("_words") == F.col("size")
     parts = F.regexp_extract_all(
         field("text"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)
@@ -220,4 +235,4 @@ def mixed_documents(docs: DataFrame, mixture: Mixture | None = None) -> DataFram
         columns["n_chars"] = F.when(whole_row, field("n_chars")).otherwise(
             F.char_length(text).cast(kind)
         )
-    return unpacked(whole.join(chosen.union(empty), "row"), docs.columns, **columns)
+    return unpacked(mixed, docs.columns, **columns)

@@ -94,9 +94,11 @@ def test_mixture_meets_its_targets(spark):
 
 def test_mixed_documents_hold_the_words_taken(spark):
     rows = [(i, " ".join(f"w{i}.{k}" for k in range(5 + i % 9)), "abc"[i % 10 > 3]) for i in range(200)]
-    rows += [(900, "", "a"), (901, None, None)]
+    rows += [(900, "", "a"), (901, None, None), (7, rows[7][1], rows[7][2]), (900, "", "a")]
     docs = frame(spark, rows)
-    taken = {r.doc_id: r.taken for r in mixing.mixture_report(docs).collect()}
+    taken = {}
+    for r in mixing.mixture_report(docs).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
     words, seen = {}, set()
@@ -107,6 +109,7 @@ def test_mixed_documents_hold_the_words_taken(spark):
         seen.add(r.doc_id)
     assert {k: v for k, v in taken.items() if v} == {k: v for k, v in words.items() if v}
     assert {900, 901} <= seen
+    assert sum(r.doc_id == 900 for r in out.collect()) == 2
 
 
 def test_mixture_of_nothing(spark):

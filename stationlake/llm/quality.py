@@ -28,12 +28,40 @@ SYMBOLS = "#*$%&|<>"
 class Bands:
     """Limits of compressed size / size in bytes, ends included.
 
-    ``whole``: (least bytes, lowest ratio, highest ratio), the last row that fits counts; they lie
-    a few hundredths below and above the ratios of documents labelled good.  ``chunk_share``: the part
-    of chunks that may be outside ``chunk``; a last piece under half a chunk joins the chunk before.
+    ``whole``: (least bytes, lowest ratio, highest ratio), the last row that fits counts.  The lowest
+    lie below those of natural prose, cut to that length, in books and legal texts; they fall up
+    to 3.3 MB, as level 3 finds repeated strings within 2 MiB.  ``chunk_share``: the part of
+    chunks that may be outside ``chunk``; a last piece under half a chunk joins the chunk before.
+
+    Symbols between words of junk compress about as far as natural prose: texts with over
+    ``symbol_share`` of them among their characters have the narrower ``symbol_whole`` and ``symbol_chunk``.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
+        (0, 0.0, float("inf")),
+        (100, 0.50, 1.15),
+        (200, 0.45, 0.95),
+        (283, 0.45, 0.90),
+        (400, 0.44, 0.82),
+        (566, 0.42, 0.80),
+        (800, 0.41, 0.72),
+        (1131, 0.40, 0.70),
+        (1600, 0.38, 0.64),
+        (2263, 0.36, 0.62),
+        (3200, 0.34, 0.60),
+        (4525, 0.33, 0.58),
+        (6400, 0.32, 0.56),
+        (12800, 0.30, 0.54),
+        (25600, 0.295, 0.52),
+        (51200, 0.29, 0.52),
+        (102400, 0.28, 0.52),
+        (204800, 0.27, 0.52),
+        (409600, 0.26, 0.52),
+        (819200, 0.25, 0.52),
+        (1638400, 0.24, 0.52),
+        (3276800, 0.23, 0.52),
+    )
+    symbol_whole: tuple[tuple[int, float, float], ...] = (
         (0, 0.0, float("inf")),
         (100, 0.59, 1.15),
         (200, 0.57, 0.95),
@@ -50,9 +78,17 @@ class Bands:
         (12800, 0.390, 0.54),
         (25600, 0.380, 0.52),
         (51200, 0.370, 0.52),
+        (102400, 0.360, 0.52),
+        (204800, 0.350, 0.52),
+        (409600, 0.340, 0.52),
+        (819200, 0.330, 0.52),
+        (1638400, 0.320, 0.52),
+        (3276800, 0.310, 0.52),
     )
+    symbol_share: float = 0.05
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.41, 0.60)
+    chunk: tuple[float, float] = (0.33, 0.60)
+    symbol_chunk: tuple[float, float] = (0.41, 0.60)
     chunk_share: float = 0.2
     level: int = 3
 
@@ -61,17 +97,22 @@ def _ratio(packer: zstandard.ZstdCompressor, data: bytes) -> float:
     return len(packer.compress(data)) / len(data) if data else 0.0
 
 
-def compression(data: bytes, bands: Bands, packer: zstandard.ZstdCompressor):
-    """Ratio of the whole, chunks, chunks outside their limits, verdict."""
+def compression(
+    data: bytes, bands: Bands, packer: zstandard.ZstdCompressor, symbols: bool = False
+):
+    """Ratio of the whole, chunks, chunks outside their limits, verdict; by those for ``symbols``."""
+    limits, chunk = (
+        (bands.symbol_whole, bands.symbol_chunk) if symbols else (bands.whole, bands.chunk)
+    )
     whole = _ratio(packer, data)
-    low, high = [b[1:] for b in bands.whole if len(data) >= b[0]][-1]
+    low, high = [b[1:] for b in limits if len(data) >= b[0]][-1]
     passes = low <= whole <= high
     count = max(1, (len(data) + bands.chunk_bytes // 2) // bands.chunk_bytes)
     outside = 0
     if len(data) >= bands.chunk_bytes:
         ends = [bands.chunk_bytes * i for i in range(count)] + [len(data)]
         for a, b in zip(ends, ends[1:]):
-            outside += not bands.chunk[0] <= _ratio(packer, data[a:b]) <= bands.chunk[1]
+            outside += not chunk[0] <= _ratio(packer, data[a:b]) <= chunk[1]
     return whole, count, outside, passes and outside <= bands.chunk_share * count
 
 
@@ -134,7 +175,8 @@ def verdict(text: str, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
     found = counts(text)
     failed = found[0] < 10 or 100 * found[4] > 20 * found[0]
     data = text.encode("utf-8", "surrogatepass")
-    ratio, chunks, outside, passes = compression(data, bands, packer)
+    symbols = found[2] > bands.symbol_share * found[1]
+    ratio, chunks, outside, passes = compression(data, bands, packer, symbols)
     return (*found, failed, passes and not failed, ratio, chunks, outside)
 
 

@@ -1,7 +1,9 @@
 """Language, main text, licences, quality and pieces."""
 
 import itertools
+import re
 import struct
+from pydoc_data.topics import topics
 
 import numpy as np
 import pytest
@@ -214,6 +216,38 @@ def test_bad_chunk_in_a_long_text():
     assert not quality.compression(data[:8192] + b"x" * 8192, bands, packer)[3]
 
 
+def test_long_clean_texts_are_kept(spark):
+    """Unique sentences of good documents, joined, at lengths beyond any row of the tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1")
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    parts = {}
+    for r in docs.join(labels, "doc_id").orderBy("doc_id").select("lang", "text").collect():
+        own = parts.setdefault(r.lang, {})
+        own.update(dict.fromkeys(x for x in re.split(r"(?<=[.!?])\s+", r.text) if len(x.split()) > 4))
+    judged = 0
+    for own in parts.values():
+        text = " ".join(own)
+        for size in (51_200, 200_000, 500_000, 1_000_000, 4_000_000):
+            if size <= len(text):
+                judged += 1
+                assert quality.verdict(text[:size], quality.Bands(), packer)[6], size
+    assert judged >= 12
+
+
+def test_natural_prose_is_kept_and_junk_of_symbols_is_not():
+    packer = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    verdict = lambda t: quality.verdict(t, quality.Bands(), packer)
+    for name in ("import", "naming", "execmodel", "attribute-access", "compound", "specialnames"):
+        for text in (topics[name], topics[name][:3000]):
+            assert verdict(text)[6], (name, len(text))
+    rng = np.random.default_rng(6)
+    parts = ["the", "and", "th", "nd", "er", "on", "re", "st", "sh", "ing", "tion", "ou", "wh", "ble", "ea"]
+    words = ["".join(rng.choice(parts, rng.integers(1, 5))) + rng.choice(["$$$", "%%%", "&&&", "***"]) for _ in range(900)]
+    junk = verdict(" ".join(words))
+    assert 0.3 < junk[7] < 0.41 and not junk[5] and not junk[6]
+
+
 # --- pieces
 
 ODD = [

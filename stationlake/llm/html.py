@@ -35,7 +35,9 @@ BOILERPLATE = frozenset(
     "menu head title object svg canvas audio video option datalist fieldset".split()
 )
 CONTENT = frozenset(("article", "main"))
-#: Words in class, id or role that mark an element as no part of an article; what comes behind
+#: Only these can be marked: ids of headings and classes of paragraphs speak of their own text.
+CONTAINERS = frozenset("div section ul ol dl table center".split())
+#: Words in class, id or role that mark a container as no part of an article; what comes behind
 #: "no-", "has-" or "with-" describes the element's surroundings.
 _MARKED = r"(?:^|[^a-z])(?<!no-)(?<!has-)(?<!with-)(?<!without-)(?:{})(?![a-z])"
 MARKS = re.compile(
@@ -47,6 +49,10 @@ MARKS = re.compile(
     ),
     re.I,
 )
+#: Comments can be longer than what they comment on.
+COMMENTS = re.compile(_MARKED.format(r"comments?|comment-\w+|replies|disqus"), re.I)
+#: A marked container with more than this part of the words is what a page is about.
+MOST, MOST_COMMENTS = 0.5, 0.9
 #: The head of a page, which inside an article is the article's own.
 HEADS = re.compile(_MARKED.format("header|masthead"), re.I)
 
@@ -73,6 +79,7 @@ class Token:
     kind: str  # "text" or the tag, with "/" before the name of an end tag
     text: str = ""
     marked: bool = False
+    comments: bool = False
     head: bool = False
     score: float = 0.0
 
@@ -95,19 +102,78 @@ def tokens(page: str) -> list[Token]:
         end = bool(found.group(1))
         attributes = _ATTRIBUTE.findall(found.group(3)) if not end else ()
         says = " ".join(value for x in attributes for value in x[1:])
-        marked, head = bool(MARKS.search(says)), name == "header" or bool(HEADS.search(says))
-        out.append(Token(("/" if end else "") + name, "", marked, head))
+        box = name in CONTAINERS
+        out.append(
+            Token(
+                ("/" if end else "") + name,
+                "",
+                box and bool(MARKS.search(says)),
+                box and bool(COMMENTS.search(says)),
+                name == "header" or box and bool(HEADS.search(says)),
+            )
+        )
         if not end and name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = close.start() if close else len(page)
 
 
+def unhide(page: list[Token]) -> None:
+    """Take the marks from containers with most of the words, which wrap what the page is about.
+
+    Words are those inside ``article`` or ``main`` if the page has one, else all; those in
+    boilerplate elements don't count.  Elements end as in `useful`.
+    """
+    open_: list[tuple[str, Token, int, int]] = []  # name, start, words before it: in content, all
+    count: Counter[str] = Counter()  # of the names in ``open_``
+    found: list[tuple[Token, int, int]] = []  # marked or head, its words in content, all
+    boiler = content = within = every = 0
+    labelled = False
+
+    def close() -> str:
+        nonlocal boiler, content
+        name, token, a, b = open_.pop()
+        count[name] -= 1
+        boiler -= name in BOILERPLATE
+        content -= name in CONTENT
+        if token.marked or token.head:
+            found.append((token, within - a, every - b))
+        return name
+
+    for token in page:
+        name = token.kind
+        if name == "text":
+            if not boiler:
+                n = len(token.text.split())
+                every += n
+                within += n if content else 0
+        elif name.startswith("/"):
+            if count[name[1:]]:
+                while close() != name[1:]:
+                    pass
+        elif name not in VOID:
+            if name == "p" and open_ and open_[-1][0] == "p":
+                close()
+            open_.append((name, token, within, every))
+            count[name] += 1
+            boiler += name in BOILERPLATE
+            content += name in CONTENT
+            labelled = labelled or name in CONTENT
+    while open_:
+        close()
+    for token, a, b in found:
+        own, all_ = (a, within) if labelled else (b, every)
+        if own > (MOST_COMMENTS if token.comments else MOST) * all_:
+            token.marked = token.head = False
+
+
 def useful(page: list[Token]) -> list[Token]:
     """Tokens without what boilerplate elements hold; their own tags stay outside articles.
 
     An element ends with its end tag, or where an element around it ends.  Inside
     ``article`` a ``header`` is its heading; elsewhere it is the page's.
     """
+    if any(t.marked or t.head for t in page):
+        unhide(page)
     out: list[Token] = []
     open_: list[str] = []
     count: Counter[str] = Counter()  # of the names in ``open_``

@@ -108,6 +108,42 @@ def test_marks_of_elements():
     assert html.MARKS.search("reading") is None and html.MARKS.search("main-nav")
 
 
+def test_marks_count_on_containers_only():
+    weights = html.Weights(1.0, (), -0.1)
+    page = """<div class="page"><div class="sidebar"><p>Older pages are here</p></div><article><h1 id="social-impact">Impact</h1>
+    <h2 id="related-work">Related work</h2><p class="notice">Mind <span class="skip">the</span> gap.</p>
+    <h2 id="search-algorithms" class="header">Search</h2><p id="share">They find what they look for.</p><div class="share">Send it</div>
+    </article></div>"""
+    blocks = ["Impact", "Related work", "Mind the gap.", "Search", "They find what they look for."]
+    assert html.main_text(page, weights).split("\n\n") == blocks
+    bare = page.replace("<article>", "").replace("</article>", "")
+    assert html.main_text(bare, weights).split("\n\n") == blocks
+
+
+@pytest.mark.parametrize("mark", ["sidebar-left", "two-column search-page", "comments-open", "header"])
+def test_wrapper_around_the_content_is_not_dropped(mark):
+    weights = html.Weights(1.0, (), -0.1)
+    words = "<p>" + "word " * 30 + "</p>"
+    inner = f'<div class="related"><p>Read that too</p></div>{words}<div id="ad-1">Buy it</div>{words}'
+    text = "\n\n".join([("word " * 30).strip()] * 2)
+    nav = "<nav>" + "link " * 200 + "</nav>"
+    for body in (inner, f"<article>{inner}</article>", f"<main>{inner}"):
+        assert html.main_text(f'<body>{nav}<div class="{mark}">{body}</div></body>', weights) == text
+    assert html.main_text(f'<article><div class="{mark}">{inner}</div></article>', weights) == text
+
+
+def test_long_extras_are_still_dropped():
+    weights = html.Weights(1.0, (), -0.1)
+    long = "<p>" + "other " * 70 + "</p>"
+    for page in (
+        f'<div><p>{"word " * 30}</p></div><div id="comments">{long}</div>',
+        f'<article><p>{"word " * 30}</p><section class="comments">{long}</section></article>',
+        f'<article><p>{"word " * 30}</p></article><div class="related">{long}</div>',
+        f'<main><p>{"word " * 30}</p><div class="related"><article>Short</article></div></main>',
+    ):
+        assert html.main_text(page, weights) == ("word " * 30).strip()
+
+
 def test_best_run_is_the_best_of_all_runs():
     rng = np.random.default_rng(1)
     for _ in range(50):

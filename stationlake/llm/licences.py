@@ -163,6 +163,21 @@ def normal(sentence: str) -> str:
 
 KNOWN = {normal(re.sub(r"[;:]$", "", text)): name for name, text in SENTENCES}
 
+#: Marks before the words of a line, as of comments, quotes and lists.
+LINE_MARKS = r"(?md)^[ \t\r!-/:-@\[-`{-~]+(?:(?:dnl|rem)(?![a-z0-9])[ \t\r!-/:-@\[-`{-~]*)?|^(?:dnl|rem)(?![a-z0-9])"
+_TITLES = "|".join(
+    r"[^a-z0-9.\n]+".join(map(re.escape, known.split()))
+    for known, name in KNOWN.items()
+    if name.endswith("-title")
+)
+#: Lines that stand alone: copyright lines (not words of a licence about them) and known titles.
+OWN_LINE = (
+    r"(?md)^[^a-z0-9\n©]*(?:(?:(?:portions[ \t]+)?copyright(?![a-z])"
+    r"(?![ \t]+(?:notices?|holders?|owners?|laws?|and|or)(?![a-z]))|©|c\)[ \t])[^\n]*"
+    rf"|(?:all rights reserved|{_TITLES})[^a-z0-9\n]*)$"
+)
+EMPTY_LINE = r"\n[ \t\r]*\n"
+
 
 def _normal(c: Column) -> Column:
     return F.rtrim(F.btrim(F.regexp_replace(c, OTHER, " "), F.lit(" ")), F.lit("."))
@@ -178,8 +193,9 @@ def find_licences(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     ``sentence_ids``: identifiers of the known sentences in order, separated by spaces; ``n_known``
     their number; ``licences``: names of the licences whose rules match, in the order of the
-    rules, each once, separated by commas.  A sentence may run over several lines; one that isn't
-    known is tried line by line.  Unknown sentences don't come between the known ones.
+    rules, each once, separated by commas.  A sentence may run over several lines, with the marks of
+    a comment before each; one that isn't known is cut behind copyright lines and titles, and what
+    is still unknown is tried line by line.  Unknown sentences don't come between the known ones.
 
     A null or empty text has none of these: empty strings and 0.  Rows stand alone; no rows give no
     rows; columns not carried are ignored, one named like a result is left out.
@@ -189,7 +205,7 @@ def find_licences(docs: DataFrame, carry: list[str]) -> DataFrame:
     handed = [F.col(f"`{c}`") for c in carry]
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
 
-    def lookup(sentence: Column) -> Column:
+    def piece(sentence: Column) -> Column:
         whole = F.element_at(known, _normal(sentence))
         by_line = F.filter(
             F.transform(F.split(sentence, "\n"), lambda x: F.element_at(known, _normal(x))),
@@ -197,7 +213,17 @@ def find_licences(docs: DataFrame, carry: list[str]) -> DataFrame:
         )
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(by_line)
 
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    def lookup(sentence: Column) -> Column:
+        whole = F.element_at(known, _normal(sentence))
+        cut = F.split(F.regexp_replace(sentence, OWN_LINE, "$0\n"), EMPTY_LINE)
+        return (
+            F.when(whole.isNotNull(), F.array(whole))
+            .when(F.contains(sentence, F.lit("\n")), F.flatten(F.transform(cut, piece)))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    lower = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    text = F.regexp_replace(lower, LINE_MARKS, "")
     sentences = F.split(text, SENTENCE_END)
     ids = F.flatten(F.transform(sentences, lookup))
     out = docs.select(*handed, ids.alias("_ids"))
@@ -224,7 +250,7 @@ def find_licences(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def licence_sql(table: str = "documents", key: str = "doc_id") -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL, but for line marks and cuts behind copyright lines and titles."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(k)}: {quote(v)}" for k, v in KNOWN.items()) + "}"
 

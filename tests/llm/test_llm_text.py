@@ -3,6 +3,7 @@
 import itertools
 import re
 import struct
+import textwrap
 from pydoc_data.topics import topics
 
 import numpy as np
@@ -197,6 +198,46 @@ def test_licence_rules(spark):
     assert all(set(names) <= set(known) for _, names in licences.RULES)
 
 
+MARKS = {"//": "// {}", "#": "# {}", "*": " * {}", "dnl": "dnl {}", ";": ";; {}", "--": "-- {}", "none": "{}"}
+
+
+def test_licences_in_comments(spark):
+    """Full texts, wrapped, without a title or notice line that would do alone."""
+    known = {n: t for n, t in reversed(licences.SENTENCES)}
+    full = {
+        "MIT": [[known["mit-grant"]], [known["mit-condition"]], [known["mit-as-is"], known["mit-liability"]]],
+        "BSD-2-Clause": [[known[f"bsd-{x}"]] for x in ("permit", "source", "binary", "as-is")],
+        "BSD-3-Clause": [[known[f"bsd-{x}"]] for x in ("permit", "source", "binary", "names", "as-is")],
+        "GPL-3.0-or-later": [[known["gpl-free"], known["gpl3-terms"]], [known[f"gpl-{x}"] for x in ("hope", "merchant", "see")]],
+        "GPL-2.0-or-later": [[known["gpl-free"].replace("software:", "software;"), known["gpl2-terms"], known["gpl2-version"]]],
+    }
+    heads = ["Copyright (c) 2020 Foo", "Copyright (C) 2020 Foo\nCopyright 2021 Bar Inc\nAll rights reserved", "© 2020 Foo", "The MIT License (MIT)\nCopyright 2020 Foo"]
+    rows, right = [], {}
+    for mark, head, (name, parts) in itertools.product(MARKS, heads, full.items()):
+        for gap in ("\n", "\n\n"):
+            for width in (50, 72):
+                body = "\n\n".join(textwrap.fill(" ".join(p), width) for p in parts)
+                lines = [MARKS[mark].format(x).rstrip() for x in (head + gap + body).split("\n")]
+                text = "\n".join(["/*", *lines, " */", "int x;"] if mark == "*" else [*lines, "", "x = 1"])
+                right[len(rows)] = (name, ("MIT",) if head.startswith("The MIT") else ())
+                rows.append((len(rows), text))
+    found = licences.find_licences(spark.createDataFrame(rows, "doc_id int, text string"), ["doc_id"]).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        name, title = right[r.doc_id]
+        assert {*r.licences.split(",")} == {name, *title}, rows[r.doc_id][1]
+        if name == "MIT":
+            assert r.n_known == 4 + len(title)
+
+
+def test_words_of_licences_about_copyright_are_not_cut(spark):
+    known = {n: t for n, t in reversed(licences.SENTENCES)}
+    text = "\n".join(known[f"mit-{x}"].replace(" copyright", "\ncopyright").replace(" COPYRIGHT", "\nCOPYRIGHT") for x in ("grant", "condition", "as-is", "liability"))
+    rows = [(1, text), (2, "Copyright 2020 Foo\n" + text), (3, "# x\n#\n# y"), (4, "// ---\n//\n")]
+    found = licences.find_licences(spark.createDataFrame(rows, "doc_id int, text string"), ["doc_id"]).collect()
+    assert [(r.n_known, r.licences) for r in sorted(found)] == [(4, "MIT"), (4, "MIT"), (0, ""), (0, "")]
+
+
 # --- quality
 
 

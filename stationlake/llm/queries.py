@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import html, language, licences, lines, mixing, near_duplicates, neighbours, pieces, quality, sharding
+from stationlake.llm import html, language, licences, lines, manifest, mixing, near_duplicates, neighbours, pieces, quality
+from stationlake.llm import sharding, token_alignment, token_counts
 from stationlake.llm.common import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +175,91 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sentencepiece")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _hashed_value(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+_HASHED_ROW = " || ".join(_hashed_value(c) for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+def _tree_sql(name: str, base: str, keys: str) -> str:
+    """Nodes of trees level by level, and per node the digests left and right in its run of three."""
+    same = f"a.{keys} IS NOT DISTINCT FROM b.{keys}" if keys else "true"
+    key = f"{keys}, " if keys else ""
+    part = f"PARTITION BY {keys}" if keys else ""
+    return f"""
+{name} AS (
+    SELECT {key}0 AS level, pos, digest FROM {base}
+    UNION ALL
+    SELECT {key}level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos))
+    FROM (SELECT *, count(*) OVER ({part}) AS n FROM {name}) WHERE n > 1
+    GROUP BY {key}level, pos // 3),
+{name}_top AS (
+    SELECT {key}max(level) AS height, max_by(digest, level) AS top FROM {name}
+    {f"GROUP BY {keys}" if keys else ""}),
+{name}_way AS (
+    SELECT {f"a.{keys}, " if keys else ""}a.level, a.pos,
+        coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+        coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+    FROM {name} a LEFT JOIN {name} b
+        ON {same} AND a.level = b.level AND a.pos // 3 = b.pos // 3 AND a.pos <> b.pos
+    GROUP BY ALL)"""
+
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE hashed AS (
+    SELECT row_number() OVER () AS id, doc_id, source,
+        sha256({_HASHED_ROW} || {_hashed_value("text")}) AS leaf,
+        sha256({_HASHED_ROW} || {_hashed_value("replace(text, chr(10), '')")}) AS shorter,
+        list_reduce([4294967295::UBIGINT] || range(8 * length(doc_id::VARCHAR))::UBIGINT[],
+            lambda c, i: xor((CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR,
+                (i // 8 + 1)::BIGINT, 1))::UBIGINT) ELSE c END) >> 1, 3988292384::UBIGINT * (
+                (CASE WHEN i % 8 = 0 THEN xor(c, ascii(substr(doc_id::VARCHAR,
+                (i // 8 + 1)::BIGINT, 1))::UBIGINT) ELSE c END) & 1))) AS crc
+    FROM documents),
+leaves AS (
+    SELECT *, leaf AS digest,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+    FROM hashed),{_tree_sql("nodes", "leaves", "source")},
+subroots AS (
+    SELECT source, height, top AS digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+    FROM nodes_top),{_tree_sql("tops", "subroots", "")},
+inner_way AS (
+    SELECT id, source, 0 AS level, pos, '' AS proof,
+        CASE WHEN xor(crc, 4294967295::UBIGINT) % 2 = 0 THEN shorter ELSE leaf END AS folded
+    FROM leaves
+    UNION ALL
+    SELECT i.id, i.source, i.level + 1, i.pos // 3, i.proof || w.l || w.r,
+        sha256(w.l || i.folded || w.r)
+    FROM inner_way i JOIN nodes_way w
+        ON i.source IS NOT DISTINCT FROM w.source AND i.level = w.level AND i.pos = w.pos
+        JOIN subroots s ON i.source IS NOT DISTINCT FROM s.source WHERE i.level < s.height),
+outer_way AS (
+    SELECT i.id, 0 AS level, s.pos, i.proof, i.folded, s.digest AS subroot
+    FROM inner_way i JOIN subroots s ON i.source IS NOT DISTINCT FROM s.source AND i.level = s.height
+    UNION ALL
+    SELECT o.id, o.level + 1, o.pos // 3, o.proof || w.l || w.r, sha256(w.l || o.folded || w.r),
+        o.subroot
+    FROM outer_way o JOIN tops_way w ON o.level = w.level AND o.pos = w.pos, tops_top t
+    WHERE o.level < t.height)
+SELECT doc_id, leaf, subroot, top AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+    folded = top AS verified
+FROM outer_way o JOIN leaves USING (id), tops_top t WHERE o.level = t.height
+"""
+
+
+@query("op12_merkle_manifest", MANIFEST_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), ["doc_id"])

@@ -17,4 +17,4 @@ def test_query(spark, name):
 
 def test_all_queries_are_registered():
     assert {*QUERIES, "pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))

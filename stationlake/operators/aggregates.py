@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stationlake.operators.ordered import POS, SIZE, attach, exact_quantiles
+from stationlake.operators.ordered import attach, exact_quantiles
+from stationlake.operators.periods import HOUR, HOURLY, resample_mean
 from stationlake.schema import HOURLY_FUNCTIONS, MEASURES, REQUIRED, STATION_KEYS, numeric_columns
 
-HOUR = "hour_ts"
-
 
 def floor_time(ts: Column, unit: str) -> Column:
     """Start of the day or hour, from the parts of ``ts``, so that no zone comes in."""
@@ -84,38 +83,8 @@ def derived_hourly_features(hourly: DataFrame) -> DataFrame:
 def resample_hourly_mean(
     df: DataFrame, keys: list[str], columns: list[str], ts: str = "ts"
 ) -> DataFrame:
-    """One row per hour from the first to the last reading of a station.
-
-    Readings are averaged before anything else is done, so that a series is
-    bounded by the hours it spans.  The result is laid out: positions follow from
-    the hour, no sort is needed.
-    """
-    hourly = df.groupBy(*keys, floor_time(F.col(ts), "hour").alias(HOUR)).agg(
-        *[F.avg(c).alias(c) for c in columns]
-    )
-    spans = hourly.groupBy(*keys).agg(
-        F.min(HOUR).alias("_start"), F.max(HOUR).alias("_end")
-    )
-    first_day, last_day = (floor_time(F.col(c), "day") for c in ("_start", "_end"))
-    days = spans.withColumn(
-        "_day", F.explode(F.sequence(first_day, last_day, F.expr("interval 1 day")))
-    )
-    hours = (
-        days.withColumn(
-            HOUR,
-            F.explode(
-                F.sequence(
-                    F.greatest("_day", "_start"),
-                    F.least(F.col("_day") + F.expr("interval 23 hours"), F.col("_end")),
-                    F.expr("interval 1 hour"),
-                )
-            ),
-        )
-        .withColumn(POS, F.timestamp_diff("HOUR", F.col("_start"), F.col(HOUR)))
-        .withColumn(SIZE, F.timestamp_diff("HOUR", F.col("_start"), F.col("_end")) + 1)
-        .drop("_start", "_end", "_day")
-    )
-    return attach(hours, hourly, [*keys, HOUR])
+    """One row per hour from the first to the last reading of a station, laid out."""
+    return resample_mean(df, keys, columns, HOURLY, ts)
 
 
 def describe(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -16,15 +16,17 @@ from stationlake.functions.stats import (
     sample_skewness,
 )
 from stationlake.operators.ordered import (
+    BLOCK,
     BLOCK_ROWS,
     POS,
     SIZE,
+    Blocks,
     attach,
     attach_stored,
     lay_out,
-    over_rows,
 )
 from stationlake.schema import METRIC_LIMITS
+from stationlake.session import materialise
 
 EPSILON = 2.220446049250313e-16
 
@@ -161,40 +163,110 @@ def residual_diagnostics(
     forecasts: DataFrame, keys: list[str], actual: str, order: list[str], lags: int = 10,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Mean, deviation, Jarque–Bera p-value and Ljung–Box statistic of the residuals."""
-    scored = _scored(forecasts, actual).select(
-        *keys, *order, (F.col(actual) - F.col("forecast")).alias("_e")
-    )
-    laid = lay_out(scored, keys, order)
-    centre = laid.groupBy(*keys).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.avg("_e").alias("mean"),
-        F.stddev_pop("_e").alias("std"),
-        F.skewness("_e").alias("_g1"),
-        F.kurtosis("_e").alias("_g2"),
-    )
-    centred = attach_stored(laid, centre.select(*keys, "mean"), keys).withColumn(
-        "_c", F.col("_e") - F.col("mean")
-    )
-    paired = over_rows(
-        centred, keys, lags, 0,
-        lambda w: {f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)}, block_rows,
+    """Mean, deviation, Jarque–Bera p-value and Ljung–Box statistic of the residuals.
+
+    Rows that carry positions are not numbered again; others are, by ``order``.  Each block of positions
+    gives its sums of powers and of products ``k`` rows apart, centred by its own mean, and its
+    first and last ``lags`` residuals; the blocks of a series are then put together exactly.
+    """
+    scored = _scored(forecasts, actual).withColumn("_e", F.col(actual) - F.col("forecast"))
+    if POS in scored.columns:
+        laid = scored.select(*keys, POS, "_e")
+    else:
+        laid = lay_out(scored.select(*keys, *order, "_e"), keys, order)
+    blocks = materialise(_residual_blocks(laid, keys, lags, block_rows), "residuals")
+    return _ljung_box(_moments_about_mean(blocks, keys, lags), keys, lags)
+
+
+def _residual_blocks(laid: DataFrame, keys: list[str], lags: int, block_rows: int) -> DataFrame:
+    """One row per block: count, mean, central sums, products by lag, first and last residuals."""
+    blocks = Blocks.of(laid, keys, block_rows=block_rows)
+    whole = Window.partitionBy(*keys, BLOCK)
+    w = blocks.window
+    rows = blocks.df.withColumns(
+        {
+            "_c": F.col("_e") - F.avg("_e").over(whole),
+            "_i": F.row_number().over(w),
+            "_n": F.count(F.lit(1)).over(whole),
+        }
     )
-    sums = paired.groupBy(*keys).agg(
-        F.sum(F.col("_c") * F.col("_c")).alias("_ss"),
-        *[F.sum(F.col("_c") * F.col(f"_l{k}")).alias(f"_s{k}") for k in range(1, lags + 1)],
+    back = {f"_l{k}": F.lag("_c", k).over(w) for k in range(1, lags + 1)}
+    entry = F.struct("_i", "_e")
+    at_end = F.col("_n") - F.col("_i") < lags
+
+    def listed(where):
+        return F.transform(F.sort_array(F.collect_list(F.when(where, entry))), lambda r: r["_e"])
+
+    c = F.col("_c")
+    return rows.withColumns(back).groupBy(*keys, BLOCK).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.avg("_e").alias("_mean"),
+        *[F.sum(reduce(lambda a, b: a * b, [c] * p)).alias(f"_p{p}") for p in (2, 3, 4)],
+        F.array(*[F.coalesce(F.sum(c * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, lags + 1)]).alias("_products"),
+        listed(F.col("_i") <= lags).alias("_first"),
+        listed(at_end).alias("_last"),
     )
-    n = F.col("n")
-    correlations = [F.coalesce(F.try_divide(F.col(f"_s{k}"), F.col("_ss")), F.lit(0.0)) for k in range(1, lags + 1)]
-    box = n * (n + 2) * reduce(
-        lambda a, b: a + b, [F.coalesce(F.try_divide(r * r, n - k), F.lit(0.0)) for k, r in enumerate(correlations, 1)]
+
+
+def _moments_about_mean(blocks: DataFrame, keys: list[str], lags: int) -> DataFrame:
+    """Count, mean and, about the mean of the whole series, sums of powers and of lagged products."""
+    series = Window.partitionBy(*keys)
+    # a block has a residual, so the last ``lags`` before it lie in that many blocks
+    earlier = series.orderBy(BLOCK).rowsBetween(-lags, -1)
+    mean = F.sum(F.col("_n") * F.col("_mean")).over(series) / F.sum("_n").over(series)
+    found = blocks.withColumns(
+        {"_all": mean, "_before": F.flatten(F.collect_list("_last").over(earlier))}
+    ).withColumn("_d", F.col("_mean") - F.col("_all"))
+    d, n = F.col("_d"), F.col("_n").cast("double")
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x - F.col("_mean"))
+
+    def about(k: int) -> Column:
+        # pairs inside the block, moved from its mean to that of the series
+        pairs = F.greatest(n - k, F.lit(0.0))
+        head = total(F.slice("_first", 1, k))
+        size = F.least(F.size("_last"), F.lit(k))
+        tail = total(F.slice("_last", F.size("_last") - size + 1, size))
+        inside = F.col("_products")[k - 1] - d * (head + tail) + pairs * d * d
+        # pairs of one of its first residuals and one before the block
+        across = F.aggregate(
+            F.sequence(F.lit(1), F.least(F.lit(k), F.size("_first"))),
+            F.lit(0.0),
+            lambda a, i: a
+            + F.coalesce(
+                (F.get("_first", i - 1) - F.col("_all"))
+                * (F.get("_before", F.size("_before") - (k - i + 1)) - F.col("_all")),
+                F.lit(0.0),
+            ),
+        )
+        return F.when(pairs > 0, inside).otherwise(0.0) + across
+
+    p2, p3, p4 = (F.col(f"_p{p}") for p in (2, 3, 4))
+    return found.groupBy(*keys).agg(
+        F.sum("_n").cast("double").alias("n"),
+        F.max("_all").alias("mean"),
+        F.sum(p2 + n * d * d).alias("_s2"),
+        F.sum(p3 + 3 * d * p2 + n * d * d * d).alias("_s3"),
+        F.sum(p4 + 4 * d * p3 + 6 * d * d * p2 + n * d * d * d * d).alias("_s4"),
+        *[F.sum(about(k)).alias(f"_r{k}") for k in range(1, lags + 1)],
     )
-    return attach(centre, sums, keys).select(
+
+
+def _ljung_box(moments: DataFrame, keys: list[str], lags: int) -> DataFrame:
+    n, variance = F.col("n"), F.col("_s2") / F.col("n")
+    skewness = F.try_divide(F.col("_s3") / n, F.pow(variance, F.lit(1.5)))
+    kurtosis = F.try_divide(F.col("_s4") / n, variance * variance) - 3
+    correlations = [
+        F.coalesce(F.try_divide(F.col(f"_r{k}"), F.col("_s2")), F.lit(0.0)) for k in range(1, lags + 1)
+    ]
+    parts = [F.coalesce(F.try_divide(r * r, n - k), F.lit(0.0)) for k, r in enumerate(correlations, 1)]
+    return moments.select(
         *keys,
         "mean",
-        "std",
-        jarque_bera_p(jarque_bera(F.col("_g1"), F.col("_g2"), n)).alias("jarque_bera_p"),
-        box.alias("ljung_box"),
+        F.sqrt(variance).alias("std"),
+        jarque_bera_p(jarque_bera(skewness, kurtosis, n)).alias("jarque_bera_p"),
+        (n * (n + 2) * reduce(lambda a, b: a + b, parts)).alias("ljung_box"),
     )
 
 

@@ -211,54 +211,83 @@ def robust_scale(
     )
 
 
+def _value(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("float"), F.lit(float("nan")))
+
+
+def _members(laid: DataFrame, keys: list[str], first: Column, last: Column, stride: int, row: Column) -> DataFrame:
+    """Rows of every window, in order, as ``_rows`` per key and window number ``_k``.
+
+    ``first`` and ``last`` bound the numbers of the windows that a row lies in.  A row goes only to
+    windows that exist, so ``length / stride`` rows move for each, and a window is one small group.
+    """
+    spread = laid.select(
+        *keys,
+        F.col(SIZE).alias("_size"),
+        F.struct(F.col(POS).alias("pos"), row.alias("row")).alias("_row"),
+        F.when(first <= last, F.sequence(first, last)).alias("_ks"),
+    )
+    return (
+        spread.select(*keys, "_size", "_row", F.explode("_ks").alias("_k"))
+        .groupBy(*keys, "_k")
+        .agg(
+            F.max("_size").alias("_size"),
+            F.array_sort(
+                F.collect_list("_row"), lambda a, b: (a["pos"] - b["pos"]).cast("int")
+            ).alias("_rows"),
+        )
+        .withColumn("start_pos", F.col("_k") * stride)
+    )
+
+
+def _up(pos: Column, stride: int) -> Column:
+    """The lowest window number whose start is at or after ``pos``."""
+    return F.ceil(F.greatest(pos, F.lit(0)) / stride)
+
+
 def sliding_sequences(
-    laid: DataFrame, keys: list[str], columns: list[str], target: str, length: int,
-    stride: int = 1, block_rows: int = BLOCK_ROWS,
+    laid: DataFrame, keys: list[str], columns: list[str], target: str, length: int, stride: int = 1
 ) -> DataFrame:
     """Windows of ``length`` consecutive rows: ``x`` = all but the last, ``y`` = last target.
 
-    One window per ``stride`` end positions; the data grows by ``length/stride``.
+    One window starts every ``stride`` rows; the data grows by ``length/stride``.
     """
-
-    def gather(w):
-        frame = w.rowsBetween(-(length - 1), 0)
-        row = F.array(*[F.coalesce(F.col(c).cast("float"), F.lit(float("nan"))) for c in columns])
-        return {"_rows": F.collect_list(row).over(frame)}
-
-    full = over_rows(laid, keys, length - 1, 0, gather, block_rows).filter(
-        (F.col(POS) >= length - 1) & ((F.col(POS) - (length - 1)) % stride == 0)
-    )
-    return full.select(
+    pos = F.col(POS)
+    row = F.struct(F.array(*[_value(c) for c in columns]).alias("x"), F.col(target).cast("float").alias("y"))
+    last = F.least(F.floor(pos / stride), F.floor((F.col(SIZE) - length) / stride))
+    windows = _members(laid, keys, _up(pos - (length - 1), stride), last, stride, row)
+    inputs = F.slice("_rows", 1, length - 1)
+    return windows.select(
         *keys,
-        (F.col(POS) - (length - 1)).alias("start_pos"),
-        F.slice("_rows", 1, length - 1).alias("x"),
-        F.col(target).cast("float").alias("y"),
+        "start_pos",
+        F.transform(inputs, lambda r: r["row"]["x"]).alias("x"),
+        F.element_at("_rows", length)["row"]["y"].alias("y"),
     )
 
 
 def encoder_decoder_windows(
     laid: DataFrame, keys: list[str], target: str, known: list[str], min_encoder: int,
-    max_encoder: int, max_decoder: int, stride: int = 1, block_rows: int = BLOCK_ROWS,
+    max_encoder: int, max_decoder: int, stride: int = 1,
 ) -> DataFrame:
-    """Per start row: history of the target, then known inputs and targets to come."""
-
-    def value(c: str) -> Column:
-        return F.coalesce(F.col(c).cast("float"), F.lit(float("nan")))
+    """Per start row: history of the target, then known inputs and targets to come.
 
-    def gather(w):
-        past, coming = w.rowsBetween(-max_encoder, -1), w.rowsBetween(0, max_decoder - 1)
-        return {
-            "encoder": F.collect_list(value(target)).over(past),
-            "decoder_known": F.collect_list(F.array(*[value(c) for c in known])).over(coming),
-            "decoder_target": F.collect_list(value(target)).over(coming),
-        }
-
-    wide = over_rows(laid, keys, max_encoder, max_decoder - 1, gather, block_rows)
-    return wide.filter(
-        (F.size("encoder") >= min_encoder)
-        & (F.size("decoder_target") >= 1)
-        & (F.col(POS) % stride == 0)
-    ).select(*keys, F.col(POS).alias("start_pos"), "encoder", "decoder_known", "decoder_target")
+    A window starts every ``stride`` rows where at least ``min_encoder`` rows lie before.
+    """
+    pos = F.col(POS)
+    row = F.struct(F.array(*[_value(c) for c in known]).alias("known"), _value(target).alias("target"))
+    first = _up(F.greatest(pos - (max_decoder - 1), F.lit(min_encoder)), stride)
+    last = F.least(F.floor((pos + max_encoder) / stride), F.floor((F.col(SIZE) - 1) / stride))
+    windows = _members(laid, keys, first, last, stride, row)
+    history = F.least(F.col("start_pos"), F.lit(max_encoder)).cast("int")
+    past = F.slice("_rows", F.lit(1), history)
+    coming = F.slice("_rows", history + 1, F.lit(max_decoder))
+    return windows.select(
+        *keys,
+        "start_pos",
+        F.transform(past, lambda r: r["row"]["target"]).alias("encoder"),
+        F.transform(coming, lambda r: r["row"]["known"]).alias("decoder_known"),
+        F.transform(coming, lambda r: r["row"]["target"]).alias("decoder_target"),
+    )
 
 
 def _power_sums(laid, keys, column, rows, block_rows):

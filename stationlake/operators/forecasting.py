@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 import warnings
-from functools import reduce
+from functools import partial, reduce
 from itertools import product
 
 import numpy as np
@@ -19,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stationlake.operators.aggregates import HOUR
 from stationlake.operators.ordered import (
     BLOCK_ROWS,
     POS,
@@ -30,6 +29,7 @@ from stationlake.operators.ordered import (
     exact_quantiles,
     over_rows,
 )
+from stationlake.operators.periods import HOUR, Frequency, frequency_of
 from stationlake.session import materialise
 
 FORECAST_COLUMNS = ["model", "forecast", "lower_bound", "upper_bound"]
@@ -138,10 +138,17 @@ def _solve(moments: np.ndarray, use: list[int]) -> tuple[np.ndarray, np.ndarray]
     return beta, np.maximum(sse, 0.0)
 
 
+def _known(values: np.ndarray, there: np.ndarray) -> list[float | None]:
+    return [float(v) if t else None for v, t in zip(values, there)]
+
+
 def fit_seasonal_ar(
     grid: DataFrame, keys: list[str], column: str, order: Order, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Per station: intercept and lag coefficients, residual deviation, AIC and BIC."""
+    """Per station: intercept and lag coefficients, residual deviation, AIC and BIC.
+
+    A station with no more rows than coefficients has no deviation, no AIC and no BIC.
+    """
     lags = order.lags
     rows = lagged(grid, keys, column, order, lags, block_rows).withColumn("_one", F.lit(1.0))
     complete = reduce(
@@ -177,97 +184,159 @@ def fit_seasonal_ar(
             out["n"] = n.astype("int64")
             out["intercept"] = beta[:, 0]
             out["coefficients"] = [list(b[1:]) for b in beta]
-            out["sigma"] = np.sqrt(sse / np.maximum(n - k, 1))
-            out["aic"] = 2 * (k + 1) - 2 * log_likelihood
-            out["bic"] = np.log(n) * (k + 1) - 2 * log_likelihood
+            free = n > k
+            out["sigma"] = _known(np.sqrt(sse / np.maximum(n - k, 1)), free)
+            out["aic"] = _known(2 * (k + 1) - 2 * log_likelihood, free)
+            out["bic"] = _known(np.log(n) * (k + 1) - 2 * log_likelihood, free)
             yield out
 
     return moments.mapInPandas(solve, schema)
 
 
+@dataclass(frozen=True)
+class Differencing:
+    """Orders with the same differencing: they share one moment matrix of all their lags."""
+
+    d: int
+    D: int
+    s: int
+    members: tuple[Order, ...]
+
+    @property
+    def lags(self) -> list[int]:
+        return sorted({lag for o in self.members for lag in o.lags})
+
+    @property
+    def taps(self) -> dict[int, int]:
+        return Order(0, self.d, 0, self.D, self.s).difference()
+
+    @property
+    def size(self) -> int:
+        return len(self.lags) + 2
+
+    def names(self, i: int) -> list[str]:
+        return [f"_{i}x{lag}" for lag in self.lags]
+
+
+def _differencings(orders: list[Order]) -> list[Differencing]:
+    shared: dict[tuple[int, int, int], list[Order]] = {}
+    for o in orders:
+        shared.setdefault((o.d, o.D, o.s), []).append(o)
+    return [Differencing(*key, tuple(members)) for key, members in shared.items()]
+
+
+def _all_moments(
+    grid: DataFrame, keys: list[str], column: str, groups: list[Differencing], folds: int, gap: int,
+    block_rows: int,
+) -> DataFrame:
+    """Moment matrices of every differencing, per station and part of the folds, in one pass."""
+    reach = max(max(g.taps) + max(g.lags, default=0) for g in groups)
+    blocks = Blocks.of(grid.select(*keys, POS, SIZE, column), keys, reach, 0, block_rows)
+    w = blocks.window
+    # what several differencings lag is lagged once
+    back = sorted({lag for g in groups for lag in g.taps if lag})
+    blocks = blocks.with_columns({f"_y{lag}": F.lag(column, lag).over(w) for lag in back})
+
+    def differenced(g):
+        terms = [F.col(f"_y{lag}" if lag else column) * c for lag, c in g.taps.items()]
+        return reduce(lambda a, b: a + b, terms)
+
+    blocks = blocks.with_columns({f"_w{i}": differenced(g) for i, g in enumerate(groups)})
+    lagging = {
+        name: F.lag(f"_w{i}", lag).over(w)
+        for i, g in enumerate(groups)
+        for name, lag in zip(g.names(i), g.lags)
+    }
+    rows = (blocks.with_columns(lagging) if lagging else blocks).home()
+    size = F.floor(F.col(SIZE) / (folds + 1))
+    head = F.col(SIZE) - folds * size
+    # segment 0 is the first training part, segment i the test block of fold i
+    segment = F.when(F.col(POS) < head, F.lit(0)).otherwise(
+        F.floor((F.col(POS) - head) / size).cast("int") + 1
+    )
+    # a row is trained on from the fold whose test block begins at least ``gap`` rows later
+    first = F.greatest(F.lit(1), F.floor((F.col(POS) + gap - head) / size).cast("int") + 2)
+    sums = []
+    for i, g in enumerate(groups):
+        names = [*g.names(i), f"_w{i}"]
+        there = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in names])
+        factors = [F.lit(1.0), *[F.col(n) for n in names]]
+        sums += [
+            F.sum(F.when(there, factors[a] * factors[b])).alias(f"m{i}_{a}_{b}")
+            for a in range(g.size)
+            for b in range(a, g.size)
+        ]
+    return (
+        rows.filter(size > 0)
+        .withColumn("_segment", segment)
+        .withColumn("_first", first)
+        .groupBy(*keys, "_segment", "_first")
+        .agg(*sums)
+    )
+
+
 def grid_search_cv(
     grid: DataFrame, keys: list[str], column: str, orders: list[Order], folds: int = 3,
     gap: int = 0, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """RMSE of every order on expanding-window folds, averaged over the folds, per station.
 
-    Orders with the same differencing share one moment matrix of all lags; a
-    smaller order is a part of it.  A fold trains on the sum of the matrices of the
-    earlier segments and is scored from the matrix of its own segment, so the
-    readings are read once per differencing, not once per order and fold.
+    Orders with the same differencing share one moment matrix of all lags; a smaller order is
+    a part of it.  The matrices of all differencings come from one pass over blocks of the readings.
+    A fold trains on the sum of the matrices of the earlier segments and is scored from the matrix
+    of its own segment.
     """
-    shared: dict[tuple[int, int, int], list[Order]] = {}
-    for o in orders:
-        shared.setdefault((o.d, o.D, o.s), []).append(o)
-    tables = []
-    for (d, D, s), members in shared.items():
-        lags = sorted({lag for o in members for lag in o.lags})
-        base = Order(0, d, 0, D, s)
-        rows = lagged(grid, keys, column, base, lags, block_rows).withColumn("_one", F.lit(1.0))
-        complete = reduce(
-            lambda a, b: a & b, [F.col(n).isNotNull() for n in ["_w", *_lag_names(lags)]]
-        )
-        size = F.floor(F.col(SIZE) / (folds + 1))
-        head = F.col(SIZE) - folds * size
-        # segment 0 is the first training part, segment i the test block of fold i
-        segment = F.when(F.col(POS) < head, F.lit(0)).otherwise(
-            F.floor((F.col(POS) - head) / size).cast("int") + 1
-        )
-        # a row is trained on from the fold whose test block begins at least ``gap`` rows later
-        first = F.greatest(F.lit(1), F.floor((F.col(POS) + gap - head) / size).cast("int") + 2)
-        moments = (
-            rows.filter(complete & (size > 0))
-            .withColumn("_segment", segment)
-            .withColumn("_first", first)
-            .groupBy(*keys, "_segment", "_first")
-            .agg(*[e.alias(n) for n, e in _products(lags).items()])
+    groups = _differencings(orders)
+    moments = materialise(_all_moments(grid, keys, column, groups, folds, gap, block_rows), "moments")
+    names = [c for c in moments.columns if c.startswith("m") and c not in keys]
+    # a few small rows per station and fold
+    train = (
+        moments.select(
+            *keys,
+            F.explode(F.sequence(F.col("_first"), F.greatest("_first", F.lit(folds)))).alias("fold"),
+            *names,
         )
-        tables.append(_score_orders(moments, grid, keys, members, lags, folds))
-    scores = reduce(DataFrame.unionByName, tables)
-    scored = scores.groupBy(*keys, "order_name").agg(
-        F.avg("rmse").alias("rmse"), F.count(F.lit(1)).alias("folds")
+        .filter(F.col("fold") <= folds)
+        .groupBy(*keys, "fold")
+        .agg(*[F.sum(n).alias(n) for n in names])
     )
-    scored = materialise(scored, "scores")
-    # a station that no fold could score is there too, with no order and no folds
-    left, right = grid.select(*keys).distinct(), scored.select(*keys).distinct()
-    there = right.select(*[F.col(k).alias(f"_scored_{k}") for k in keys])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_scored_{k}")) for k in keys])
-    unscored = left.join(there, same, "left_anti").withColumn("folds", F.lit(0).cast("long"))
-    return scored.unionByName(unscored, allowMissingColumns=True)
-
-
-def _score_orders(moments, grid, keys, members, lags, folds):
-    names = [c for c in moments.columns if c.startswith("m_")]
-    # a few small rows per station and fold
-    train_of = moments.select(
-        *keys,
-        F.explode(F.sequence(F.col("_first"), F.greatest("_first", F.lit(folds)))).alias("fold"),
-        *names,
-    ).filter(F.col("fold") <= folds)
-    train = train_of.groupBy(*keys, "fold").agg(*[F.sum(n).alias(n) for n in names])
     test = (
         moments.filter("_segment >= 1")
         .groupBy(*keys, F.col("_segment").alias("fold"))
         .agg(*[F.sum(n).alias(f"t{n}") for n in names])
     )
     both = attach(train, test, [*keys, "fold"], "inner")
-    size = len(lags) + 2
-    picks = [(o.name, [0, *[1 + lags.index(lag) for lag in o.lags]]) for o in members]
-    schema = T.StructType(
-        [grid.schema[k] for k in keys]
-        + [
-            T.StructField("fold", T.IntegerType()),
-            T.StructField("order_name", T.StringType()),
-            T.StructField("rmse", T.DoubleType()),
-        ]
+    scores = both.mapInPandas(
+        partial(_score_orders, keys=keys, groups=groups),
+        T.StructType(
+            [grid.schema[k] for k in keys]
+            + [
+                T.StructField("order_name", T.StringType()),
+                T.StructField("rmse", T.DoubleType()),
+            ]
+        ),
+    )
+    # a station that no fold could score is there too, with no order and no folds
+    stations = moments.select(*keys).unionByName(grid.select(*keys)).distinct()
+    scored = scores.groupBy(*keys, "order_name").agg(
+        F.avg("rmse").alias("rmse"), F.count(F.lit(1)).alias("folds")
+    )
+    return attach(stations, materialise(scored, "scores"), keys).withColumn(
+        "folds", F.coalesce("folds", F.lit(0).cast("long"))
     )
 
-    def score(batches):
-        for batch in batches:
-            if batch.empty:
+
+def _score_orders(batches, keys: list[str], groups: list[Differencing]):
+    for batch in batches:
+        for i, g in enumerate(groups):
+            # a fold without complete rows on either side scores no order of the differencing
+            usable = batch[(batch[f"m{i}_0_0"] > 0) & (batch[f"tm{i}_0_0"] > 0)]
+            if usable.empty:
                 continue
-            fit, held = _moment_arrays(batch, size), _moment_arrays(batch, size, "tm_")
-            for name, use in picks:
+            fit = _moment_arrays(usable, g.size, f"m{i}_")
+            held = _moment_arrays(usable, g.size, f"tm{i}_")
+            for o in g.members:
+                use = [0, *[1 + g.lags.index(lag) for lag in o.lags]]
                 beta, _ = _solve(fit, use)
                 a, b = held[:, use][:, :, use], held[:, use, -1]
                 sse = (
@@ -275,14 +344,11 @@ def _score_orders(moments, grid, keys, members, lags, folds):
                     - 2 * np.einsum("ni,ni->n", beta, b)
                     + np.einsum("ni,nij,nj->n", beta, a, beta)
                 )
-                out = batch[keys].copy()
-                out["fold"] = batch["fold"].astype("int32")
-                out["order_name"] = name
-                out["rmse"] = np.sqrt(np.maximum(sse, 0.0) / np.maximum(held[:, 0, 0], 1))
+                out = usable[keys].copy()
+                out["order_name"] = o.name
+                out["rmse"] = np.sqrt(np.maximum(sse, 0.0) / held[:, 0, 0])
                 yield out
 
-    return both.mapInPandas(score, schema)
-
 
 def best_order(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Order with the lowest mean RMSE per station."""
@@ -327,14 +393,19 @@ def predict_in_sample(
 
 def forecast_horizon(
     grid: DataFrame, keys: list[str], column: str, fitted: DataFrame, order: Order, steps: int,
-    unit: str = "hours",
+    unit: str | None = None,
 ) -> DataFrame:
-    """``steps`` future hours (or ``unit="days"``) per station by recursion over the last few values.
+    """``steps`` future periods of the grid per station by recursion over the last few values.
 
+    The calendar is the grid's own (`frequency_of`); a ``unit`` that differs from it is an error.
     Only the last ``order.memory`` values of a station leave the JVM.  ``status`` is ``ok``; a
     station that can't be forecast has one row that says why: ``gap at the end`` if one of
-    those values is missing, ``no model`` if ``fitted`` has none for it.
+    those values is missing, ``no model`` if ``fitted`` has none for it, ``too short`` if it has no
+    deviation of residuals.
     """
+    frequency = frequency_of(grid)
+    if unit is not None and Frequency.parse(unit) != frequency:
+        raise ValueError(f"the grid has a period of {frequency.name}, not {unit}")
     memory = max(order.memory, 1)
     tail = (
         grid.filter(F.col(POS) >= F.col(SIZE) - memory)
@@ -349,7 +420,12 @@ def forecast_horizon(
     )
     models = fitted.select(*keys, "intercept", "coefficients", "sigma")
     whole = (F.size("tail") == memory) & ~F.exists("tail", lambda v: v.isNull())
-    status = F.when(~whole, "gap at the end").when(F.col("sigma").isNull(), "no model").otherwise("ok")
+    status = (
+        F.when(~whole, "gap at the end")
+        .when(F.col("intercept").isNull(), "no model")
+        .when(F.col("sigma").isNull(), "too short")
+        .otherwise("ok")
+    )
     every = materialise(attach(tail, models, keys, "left").withColumn("status", status), "tails")
     state = every.filter("status = 'ok'")
     lags = order.lags
@@ -412,7 +488,6 @@ def forecast_horizon(
             out["spreads"] = list(spread)
             yield out
 
-    later = {unit: F.col("_step") + 1}
     known = (
         state.drop("status").mapInPandas(recurse, schema)
         .select(
@@ -420,7 +495,7 @@ def forecast_horizon(
         )
         .select(
             *keys,
-            (F.col("_end") + F.make_dt_interval(**later)).alias(HOUR),
+            frequency.later(F.col("_end"), F.col("_step") + 1).alias(HOUR),
             F.lit(order.name).alias("model"),
             F.col("_f.forecasts").alias("forecast"),
             (F.col("_f.forecasts") - Z95 * F.col("_f.spreads")).alias("lower_bound"),
@@ -484,7 +559,7 @@ def persistence(
 def seasonal_naive_horizon(
     grid: DataFrame, keys: list[str], column: str, steps: int, season: int = 24
 ) -> DataFrame:
-    """Future hours repeat the last season: a join on the position within the season."""
+    """Future periods of the grid repeat the last season: a join on the position within it."""
     last = grid.filter(F.col(POS) >= F.col(SIZE) - season).select(
         *keys, (F.col(POS) - F.col(SIZE) + season).cast("int").alias("_phase"),
         F.col(column).alias("forecast"),
@@ -494,7 +569,7 @@ def seasonal_naive_horizon(
     future = future.withColumn("_phase", (F.col("step") - 1) % season)
     return attach(future, last, [*keys, "_phase"]).select(
         *keys,
-        (F.col("_end") + F.make_dt_interval(hours=F.col("step"))).alias(HOUR),
+        frequency_of(grid).later(F.col("_end"), F.col("step")).alias(HOUR),
         "step",
         "forecast",
     )
@@ -539,30 +614,48 @@ def run_models(
 ) -> DataFrame:
     """Predictions of every model as one long frame; the default ones in one pass.
 
-    A model whose plan cannot be built (say, a column it needs is absent) is left
-    out with a warning that names the reason; if that is true of all models, it is an error.
+    Of models given by name, one that fails is left out with a warning that says why, see
+    `run_each`; if all fail, it is an error.
     """
     if models is None:
         return default_models(grid, keys, column)
     frames, failures = try_models(grid, keys, column, models)
     reasons = "; ".join(f"{name}: {reason}" for name, reason in failures.items())
     if not frames:
-        raise ValueError("no model could be planned: " + reasons)
+        raise ValueError("no model could be run: " + reasons)
     if failures:
         warnings.warn(f"models left out: {reasons}", stacklevel=2)
-    return reduce(DataFrame.unionByName, frames)
+    return reduce(DataFrame.unionByName, frames.values())
+
+
+def run_each(
+    grid: DataFrame, keys: list[str], column: str, models: dict
+) -> tuple[DataFrame | None, DataFrame]:
+    """Predictions of the models that ran, and one row ``(model, ok, reason)`` for each.
+
+    Every model is planned, run and written by itself, so one that fails, be it in a task on some
+    station, leaves the others alone.  Without a model that ran there are no predictions.
+    """
+    frames, failures = try_models(grid, keys, column, models)
+    status = grid.sparkSession.createDataFrame(
+        [(name, name in frames, failures.get(name)) for name in models],
+        "model string, ok boolean, reason string",
+    )
+    return (reduce(DataFrame.unionByName, frames.values()) if frames else None), status
 
 
 def try_models(
     grid: DataFrame, keys: list[str], column: str, models: dict
-) -> tuple[list[DataFrame], dict[str, str]]:
-    """Predictions of the models that could be planned, and the reasons of the others by name."""
-    frames, failures = [], {}
+) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Written predictions of the models that ran, and the reasons of the others, by name."""
+    frames, failures = {}, {}
     for name, model in models.items():
         try:
-            frames.append(model(grid, keys, column).withColumn("model", F.lit(name)))
+            frames[name] = materialise(
+                model(grid, keys, column).withColumn("model", F.lit(name)), "model"
+            )
         except Exception as error:  # isolate one model's failure from the others
-            failures[name] = str(error)
+            failures[name] = (str(error).splitlines() or [type(error).__name__])[0]
     return frames, failures
 
 

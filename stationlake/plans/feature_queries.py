@@ -150,34 +150,60 @@ def minmax_inverse(spark, sf_dir):
     return back.select("reading_id", tidy("temp_c").alias("temp_c"))
 
 
+def _thousandths(values):
+    """Every element of an array as text, so that all of them are compared."""
+
+    def shown(v):
+        whole = F.round(v.cast("double") * 1000).cast("long").cast("string")
+        return F.when(F.isnan(v), "-").otherwise(whole)
+
+    return F.array_join(F.transform(values, shown), ",")
+
+
+def _thousandths_sql(values):
+    whole = "CAST(CAST(round(CAST(CAST(v AS FLOAT) AS DOUBLE) * 1000) AS BIGINT) AS VARCHAR)"
+    return f"array_to_string(list_transform({values}, lambda v: coalesce({whole}, '-')), ',')"
+
+
 @query("sliding_sequences", FILLED_SQL + f""",
-s AS (SELECT station, pos, n, count(*) OVER w AS c, sum(coalesce(temp_c, 0)) OVER w AS total, temp_c,
-   lag(temp_c, 24) OVER (PARTITION BY station ORDER BY pos) AS first_x,
-   lag(temp_c, 1) OVER (PARTITION BY station ORDER BY pos) AS last_x
- FROM filled WINDOW w AS ({FRAME} 24 PRECEDING AND CURRENT ROW))
- SELECT station, pos - 24 AS start_pos, CAST(24 AS BIGINT) AS x_length, {t('CAST(first_x AS FLOAT)')} AS first_x,
-   {t('CAST(last_x AS FLOAT)')} AS last_x, {t('CAST(temp_c AS FLOAT)')} AS y
- FROM s WHERE c = 25""")
+s AS (SELECT station, pos, list(temp_c) OVER w AS l FROM filled WINDOW w AS ({FRAME} 24 PRECEDING AND CURRENT ROW))
+ SELECT station, pos - 24 AS start_pos, CAST(24 AS BIGINT) AS x_length, {_thousandths_sql('l[1:24]')} AS x,
+   {t('CAST(l[25] AS FLOAT)')} AS y
+ FROM s WHERE len(l) = 25""")
 def sliding_sequences(spark, sf_dir):
     windows = features.sliding_sequences(
         filled_grid(spark, sf_dir), STATION, ["temp_c"], "temp_c", length=25
     )
     return windows.select(
         "station", "start_pos", big(F.size("x")).alias("x_length"),
-        tidy(F.nullif(F.col("x")[0][0], F.lit(float("nan")))).alias("first_x"),
-        tidy(F.nullif(F.col("x")[23][0], F.lit(float("nan")))).alias("last_x"),
-        tidy("y").alias("y"),
+        _thousandths(F.transform("x", lambda r: r[0])).alias("x"), tidy("y").alias("y"),
+    )
+
+
+@query("sliding_sequences_strided", FILLED_SQL + f""",
+s AS (SELECT station, pos, list(temp_c) OVER w AS l, list(hour(hour_ts)) OVER w AS h
+ FROM filled WINDOW w AS ({FRAME} 168 PRECEDING AND CURRENT ROW))
+ SELECT station, pos - 168 AS start_pos, {_thousandths_sql('l[1:168]')} AS x, {_thousandths_sql('h[1:168]')} AS hours,
+   {t('CAST(l[169] AS FLOAT)')} AS y
+ FROM s WHERE len(l) = 169 AND (pos - 168) % 24 = 0""")
+def sliding_sequences_strided(spark, sf_dir):
+    """A week of two inputs, one window a day."""
+    rows = filled_grid(spark, sf_dir).withColumn("hour", F.hour("hour_ts"))
+    windows = features.sliding_sequences(rows, STATION, ["temp_c", "hour"], "temp_c", 169, stride=24)
+    return windows.select(
+        "station", "start_pos", _thousandths(F.transform("x", lambda r: r[0])).alias("x"),
+        _thousandths(F.transform("x", lambda r: r[1])).alias("hours"), tidy("y").alias("y"),
     )
 
 
 @query("encoder_decoder_windows", FILLED_SQL + f""",
-w AS (SELECT station, pos, count(*) OVER p AS enc, count(*) OVER f AS dec, temp_c,
-   lag(temp_c) OVER (PARTITION BY station ORDER BY pos) AS last_seen,
-   last_value(temp_c) OVER f AS last_target
+w AS (SELECT station, pos, list(temp_c) OVER p AS enc, list(temp_c) OVER f AS dec,
+   list(hour(hour_ts)) OVER f AS hours, list(isodow(hour_ts) - 1) OVER f AS days
  FROM filled WINDOW p AS ({FRAME} 48 PRECEDING AND 1 PRECEDING), f AS ({FRAME} CURRENT ROW AND 11 FOLLOWING))
- SELECT station, pos AS start_pos, enc AS encoder_length, dec AS decoder_length,
-   {t('CAST(last_seen AS FLOAT)')} AS last_seen, {t('CAST(last_target AS FLOAT)')} AS last_target
- FROM w WHERE enc >= 24 AND dec >= 1 AND pos % 6 = 0""")
+ SELECT station, pos AS start_pos, CAST(len(enc) AS BIGINT) AS encoder_length, CAST(len(dec) AS BIGINT) AS decoder_length,
+   {_thousandths_sql('enc')} AS encoder, {_thousandths_sql('dec')} AS decoder_target,
+   {_thousandths_sql('hours')} AS known_hour, {_thousandths_sql('days')} AS known_day
+ FROM w WHERE len(enc) >= 24 AND len(dec) >= 1 AND pos % 6 = 0""")
 def encoder_decoder_windows(spark, sf_dir):
     """One window per six start hours: the stride is the parameter of the operator."""
     rows = features.calendar_features(filled_grid(spark, sf_dir), "hour_ts")
@@ -187,8 +213,9 @@ def encoder_decoder_windows(spark, sf_dir):
     return windows.select(
         "station", "start_pos", big(F.size("encoder")).alias("encoder_length"),
         big(F.size("decoder_target")).alias("decoder_length"),
-        tidy(F.nullif(F.element_at("encoder", -1), F.lit(float("nan")))).alias("last_seen"),
-        tidy(F.nullif(F.element_at("decoder_target", -1), F.lit(float("nan")))).alias("last_target"),
+        _thousandths("encoder").alias("encoder"), _thousandths("decoder_target").alias("decoder_target"),
+        _thousandths(F.transform("decoder_known", lambda r: r[0])).alias("known_hour"),
+        _thousandths(F.transform("decoder_known", lambda r: r[1])).alias("known_day"),
     )
 
 

@@ -173,12 +173,14 @@ def test_every_station_is_in_the_horizon(spark, monkeypatch):
     order = forecasting.Order(1, 0, 0, 0, 1)
     fitted = forecasting.fit_seasonal_ar(grid, KEYS, "x", order).where("station <> 's4'")
     monkeypatch.setattr(forecasting, "HELD_VALUES", 25)
-    rows = forecasting.forecast_horizon(grid, KEYS, "x", fitted, order, 10, unit="days").collect()
+    rows = forecasting.forecast_horizon(grid, KEYS, "x", fitted, order, 10, unit="hours").collect()
     status = {r.station: r.status for r in rows}
     assert status == {**{f"s{i}": "ok" for i in range(4)}, "s4": "no model", "hole": "gap at the end"}
     assert len(rows) == 4 * 10 + 2
     first = min(r.hour_ts for r in rows if r.station == "s0")
-    assert str(first) == "2024-01-04 11:00:00"
+    assert str(first) == "2024-01-03 12:00:00"
+    with pytest.raises(ValueError, match="1 hour"):
+        forecasting.forecast_horizon(grid, KEYS, "x", fitted, order, 10, unit="days")
 
 
 def test_default_models_equal_the_single_ones(spark):

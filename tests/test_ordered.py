@@ -185,16 +185,18 @@ def test_exact_quantiles_with_many_equal_values(spark):
     assert (got["b"].lo, got["b"].hi) == (7.0, 7.0)
 
 
-@pytest.mark.parametrize("block", BLOCKS)
-def test_sequences(spark, block):
+@pytest.mark.parametrize("stride", [1, 3, 8, 20])
+def test_sequences(spark, stride):
     rows = random_rows(11, missing=0.0)
-    got = features.sliding_sequences(laid(spark, rows), KEYS, ["x"], "x", 8, block_rows=block)
+    got = features.sliding_sequences(laid(spark, rows), KEYS, ["x"], "x", 8, stride)
     by_station = {
         k: g.sort_values("t")["x"].astype("float32").to_numpy()
         for k, g in pd.DataFrame(rows, columns=["station", "t", "x"]).groupby("station")
     }
     seen = got.collect()
-    assert len(seen) == sum(max(len(v) - 7, 0) for v in by_station.values())
+    assert sorted((r.station, r.start_pos) for r in seen) == sorted(
+        (k, at) for k, v in by_station.items() for at in range(0, len(v) - 7, stride)
+    )
     for r in seen:
         v = by_station[r.station]
         wanted = v[r.start_pos:r.start_pos + 7]
@@ -202,11 +204,44 @@ def test_sequences(spark, block):
         np.testing.assert_allclose(r.y if r.y is not None else np.nan, v[r.start_pos + 7])
 
 
-@pytest.mark.parametrize("block", BLOCKS)
-def test_encoder_decoder(spark, block):
+def test_windows_move_only_their_own_rows(spark):
+    rows = [("a", t, float(t)) for t in range(1000)]
+    df = laid(spark, rows)
+    first, last = features.F.ceil((features.F.col("series_pos") - 7) / 50), features.F.floor(features.F.col("series_pos") / 50)
+    spread = df.where(first <= last).count()
+    got = features.sliding_sequences(df, KEYS, ["x"], "x", 8, 50)
+    assert got.count() == 20 and spread == 20 * 8
+
+
+@pytest.mark.parametrize("stride", [1, 4, 9])
+def test_encoder_decoder_elements(spark, stride):
+    rows = random_rows(5, sizes=(60, 11, 3), missing=0.2)
+    by_station = {
+        k: [x for _, x in sorted((t, x) for s, t, x in rows if s == k)] for k in {r[0] for r in rows}
+    }
+    got = features.encoder_decoder_windows(laid(spark, rows), KEYS, "x", ["t", "x"], 2, 7, 5, stride)
+    found = {(r.station, r.start_pos): r for r in got.collect()}
+    assert set(found) == {
+        (k, at) for k, v in by_station.items() for at in range(0, len(v), stride) if at >= 2
+    }
+
+    def same(a, b):
+        np.testing.assert_allclose(
+            np.array(a, float), np.array([np.nan if x is None else x for x in b], float).astype("float32")
+        )
+
+    for (k, at), r in found.items():
+        v = by_station[k]
+        same(r.encoder, v[max(0, at - 7) : at])
+        same(r.decoder_target, v[at : at + 5])
+        same([x[0] for x in r.decoder_known], range(at, min(len(v), at + 5)))
+        same([x[1] for x in r.decoder_known], v[at : at + 5])
+
+
+def test_encoder_decoder(spark):
     rows = [("a", t, float(t)) for t in range(40)] + [("b", t, 0.0) for t in range(5)]
     got = features.encoder_decoder_windows(
-        laid(spark, rows), KEYS, "x", ["t"], 4, 10, 6, block_rows=block
+        laid(spark, rows), KEYS, "x", ["t"], 4, 10, 6
     ).collect()
     assert {r.start_pos for r in got if r.station == "a"} == set(range(4, 40))
     assert {r.start_pos for r in got if r.station == "b"} == {4}

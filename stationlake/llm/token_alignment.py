@@ -12,8 +12,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +38,19 @@ TREE_FAN = 16
 #: Text tokenized at once, in bytes.
 TOKENIZED_BYTES = 300_000
 
+#: Fixed value: what byte-level tokenizers split a text by before their merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 #: A pair is the id of the first tokenizer times this plus that of the second.
 _SHIFT = 1 << 31
 
+_LONG_SPACE = re.compile(r"\s{2000}")
+
+_LONG_SPACE = re.compile(r"\s{2000}")
+
+#: Tokens aligned at once; arrays of a batch take about a hundred bytes for each.
+ALIGNED_TOKENS = 500_000
+
 _SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
@@ -56,26 +65,48 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class ByteTokenizer:
-    """A byte-level tokenizer file; ``bytes`` are those of each id."""
+    """A byte-level BPE file, run by ranks; ``bytes`` are those of each id.
+
+    Its merges make the ids that follow the 256 bytes one after another, so ids are ranks, and
+    merging the lowest rank first gives the file's own tokens.  The pattern of the backend fails on very
+    long white space; texts with that are left to the slower library that wrote the file.
+    """
 
     def __init__(self, data: bytes):
+        import tiktoken
+
+        spec = json.loads(data)
+        before, model = spec["pre_tokenizer"], spec["model"]
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        if before["type"] != "ByteLevel" or not before["use_regex"] or spec["normalizer"]:
+            raise ValueError("only byte-level tokenizers with the usual pattern")
+        if [model["vocab"][m] for m in merged] != list(range(256, 256 + len(merged))):
+            raise ValueError("only tokenizers whose ids follow their merges")
+        alphabet = byte_alphabet()
+        plain = [*alphabet, *merged]
+        ranks = {bytes(map(alphabet.__getitem__, t)): model["vocab"][t] for t in plain}
+        self.backend = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = sorted(ranks, key=ranks.__getitem__)
+        self.data = data
+
+    @cached_property
+    def slow(self):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        self.backend = Tokenizer.from_str(data.decode())
-        self.backend.encode_special_tokens = True
-        self.backend.no_padding()
-        self.backend.no_truncation()
-        alphabet = byte_alphabet()
-        vocabulary = json.loads(data)["model"]["vocab"]
-        self.bytes = [b""] * (1 + max(vocabulary.values()))
-        for token, i in vocabulary.items():
-            known = all(c in alphabet for c in token)
-            self.bytes[i] = bytes(map(alphabet.__getitem__, token)) if known else token.encode()
+        out = Tokenizer.from_str(self.data.decode())
+        out.encode_special_tokens = True
+        out.no_padding()
+        out.no_truncation()
+        return out
+
+    def encode_one(self, text: str) -> list[int]:
+        if _LONG_SPACE.search(text):
+            return self.slow.encode(text, add_special_tokens=False).ids
+        return self.backend.encode_ordinary(text)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        found = self.backend.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        return [self.encode_one(" " + x) for x in texts]
 
 
 class ModelTokenizer:
@@ -123,28 +154,29 @@ def parts_of(text: str, most: int = TOKENIZED_BYTES) -> list[str]:
     return [*out, text[at:]]
 
 
-def tokens_of(pair, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-    """Ids of both tokenizers per text; none where the bytes of either aren't those of the text."""
-    for text in texts:
-        a, b = [], []
-        if text:
-            for part in parts_of(text):
-                for ids, tokenizer in ((a, pair[0]), (b, pair[1])):
-                    ids += tokenizer.encode([part])[0]
-            whole = b" " + text.encode("utf-8", "surrogatepass")
-            if any(
-                b"".join(map(t.bytes.__getitem__, ids)) != whole for t, ids in zip(pair, (a, b))
-            ):
-                a, b = [], []
-        yield a, b
+def tokens_of(pair, texts: list[str | None]) -> list[list[list[int]]]:
+    """Ids of all texts by both tokenizers; none where the bytes of either aren't those of the text."""
+    parts = [parts_of(text) if text else [] for text in texts]
+    flat = [part for of_text in parts for part in of_text]
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    out = []
+    for tokenizer in pair:
+        ids = tokenizer.encode(flat) if flat else []
+        found = [ids[a] if b == a + 1 else sum(ids[a:b], []) for a, b in zip([0, *ends], ends)]
+        for i, text in enumerate(texts):
+            whole = b" " + text.encode("utf-8", "surrogatepass") if text else b""
+            if b"".join(map(tokenizer.bytes.__getitem__, found[i])) != whole:
+                found[i] = None
+        out.append(found)
+    return [[ids if ids is not None and other is not None else [] for ids, other in zip(x, y)] for x, y in (out, out[::-1])]
 
 
 def _tokenize(batches, files: tuple[bytes, bytes], carry: list[str]):
     pair = tokenizers(*files)
     for whole in batches:
         for batch in slices(whole, "_text", TOKENIZED_BYTES):
-            found = list(tokens_of(pair, batch.column("_text").to_pylist()))
-            ids = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1)]
+            found = tokens_of(pair, batch.column("_text").to_pylist())
+            ids = [pa.array(x, pa.list_(pa.int32())) for x in found]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in carry], *ids], [*carry, "_a", "_b"]
             )

@@ -46,8 +46,6 @@ _SHIFT = 1 << 31
 
 _LONG_SPACE = re.compile(r"\s{2000}")
 
-_LONG_SPACE = re.compile(r"\s{2000}")
-
 #: Tokens aligned at once; arrays of a batch take about a hundred bytes for each.
 ALIGNED_TOKENS = 500_000
 
@@ -182,6 +180,18 @@ def _tokenize(batches, files: tuple[bytes, bytes], carry: list[str]):
             )
 
 
+def token_slices(batch: pa.RecordBatch, most: int = ALIGNED_TOKENS) -> list[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` tokens each, one row at least."""
+    lengths = [batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in ("_a", "_b")]
+    part = np.cumsum(lengths[0].astype(np.int64) + lengths[1]) // most
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    return [batch.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, batch.num_rows])]
+
+
+def _sliced(batches):
+    return (part for batch in batches if batch.num_rows for part in token_slices(batch))
+
+
 class Aligned:
     """Groups and links of the documents of a batch, all in arrays one behind another."""
 
@@ -255,7 +265,7 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
 def _count_pairs(batches, files: tuple[bytes, bytes], most: int):
     """Pairs of a task and how many links hold them, by shard, in portions of about ``most``."""
     keys, n, size = [], [], 0
-    for batch in batches:
+    for batch in _sliced(batches):
         distinct, count = np.unique(Aligned(batch, files).links, return_counts=True)
         keys.append(distinct)
         n.append(count)
@@ -384,7 +394,7 @@ def _report(batch: pa.RecordBatch, found: Aligned, carry: list[str], files: tupl
 
 def _look_up(batches, files: tuple[bytes, bytes], carry: list[str], table):
     lookup, stored, counts, best = table.value
-    for batch in batches:
+    for batch in _sliced(batches):
         found = Aligned(batch, files)
         at = lookup.verified(found.links, stored)
         if (at < 0).any():
@@ -400,7 +410,7 @@ def _look_up(batches, files: tuple[bytes, bytes], carry: list[str], table):
 
 def _spread(batches, files: tuple[bytes, bytes], carry: list[str]):
     """Instead of sums, the distinct pairs of each document."""
-    for batch in batches:
+    for batch in _sliced(batches):
         found = Aligned(batch, files)
         columns, names, digests = _report(batch, found, carry, files)
         cuts = np.flatnonzero(np.diff(found.owner)) + 1

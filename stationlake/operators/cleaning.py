@@ -118,28 +118,29 @@ def replace_outliers_rolling_iqr(
     """Replace values beyond rolling median ± ``width``·IQR by the rolling median.
 
     The centred frame of an even size holds ``rows/2`` rows before and one less
-    after; a frame that is cut off or holds a NULL changes nothing.
+    after; a frame that is cut off or holds a NULL changes nothing.  The values of a frame are
+    sorted once for all its quantiles.
     """
     before, after = rows // 2, rows - 1 - rows // 2
     blocks = Blocks.of(laid, keys, before, after, block_rows)
     frame = blocks.window.rowsBetween(-before, after)
     blocks = blocks.with_columns(
-        {
-            part: expression
-            for c in columns
-            for part, expression in (
-                (f"_q_{c}", F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(frame)),
-                (f"_n_{c}", F.count(c).over(frame)),
-            )
-        }
+        {f"_q_{c}": F.sort_array(F.collect_list(c).over(frame)) for c in columns}
     )
+
+    def quantile(c: str, level: float) -> Column:
+        at = level * (rows - 1)
+        low, part = int(at), at - int(at)
+        value = F.get(f"_q_{c}", F.lit(low))
+        return value + (F.get(f"_q_{c}", F.lit(low + 1)) - value) * part if part else value
+
     changed = {}
     for c in columns:
-        low, middle, high = (F.col(f"_q_{c}")[i] for i in range(3))
-        far = F.abs(F.col(c) - middle) > width * (high - low)
-        changed[c] = F.when((F.col(f"_n_{c}") == rows) & far, middle).otherwise(F.col(c))
-    helpers = [f"_{part}_{c}" for part in ("q", "n") for c in columns]
-    return blocks.with_columns(changed).home().drop(*helpers)
+        middle = quantile(c, 0.5)
+        far = F.abs(F.col(c) - middle) > width * (quantile(c, 0.75) - quantile(c, 0.25))
+        # a frame that is cut off or has a NULL lists fewer values
+        changed[c] = F.when((F.size(f"_q_{c}") == rows) & far, middle).otherwise(F.col(c))
+    return blocks.with_columns(changed).home().drop(*[f"_q_{c}" for c in columns])
 
 
 def fill_seasonal_mean(

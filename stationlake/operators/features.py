@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.functions.stats import correlation, cyclic, sample_kurtosis, sample_skewness
+from stationlake.functions.stats import cyclic, sample_kurtosis, sample_skewness
 from stationlake.operators.ordered import (
     BLOCK,
     BLOCK_ROWS,
@@ -17,6 +22,7 @@ from stationlake.operators.ordered import (
     exact_quantiles,
     over_rows,
 )
+from stationlake.session import materialise
 
 
 def calendar_features(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -410,36 +416,86 @@ def rolling_zscore_outliers(
     )
 
 
+PAIR_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def _gram(batches, columns: list[str], shift: list[float]):
+    """Sums over the rows of a task for each pair of columns, over rows that have both.
+
+    Five matrix products per batch, however many columns there are.
+    """
+    total = None
+    for batch in batches:
+        values = np.column_stack(
+            [batch.column(c).to_numpy(zero_copy_only=False).astype(float) - s for c, s in zip(columns, shift)]
+        )
+        there = np.column_stack(
+            [batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in columns]
+        ).astype(float)
+        x = np.where(there > 0, values, 0.0)
+        found = np.stack([there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x])
+        total = found if total is None else total + found
+    if total is not None:
+        at, to = np.triu_indices(len(columns))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at, pa.int32()), pa.array(to, pa.int32()), *[pa.array(m[at, to]) for m in total]],
+            ["a", "b", *PAIR_SUMS],
+        )
+
+
+def pair_sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``a, b`` and the sums of `PAIR_SUMS` for each pair of columns, numbered from 0.
+
+    A task hands on one row per pair; values are shifted by the means of a few rows, which changes no
+    variance or correlation but keeps their digits.
+    """
+    chosen = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    names = chosen.columns
+    few = chosen.limit(1000).select(*[F.avg(c).alias(c) for c in names]).first()
+    shift = [few[c] if few[c] is not None and math.isfinite(few[c]) else 0.0 for c in names]
+    sums = chosen.mapInArrow(
+        partial(_gram, columns=names, shift=shift), "a int, b int, " + ", ".join(f"{c} double" for c in PAIR_SUMS)
+    )
+    return sums.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in PAIR_SUMS])
+
+
 def column_screen(
     df: DataFrame, columns: list[str], max_missing: float = 0.2, max_corr: float = 0.95,
     min_variance: float = 0.01,
 ) -> DataFrame:
     """Reasons to drop columns: too many NULLs, too little variance, too correlated.
 
-    Of a correlated pair the later column is the one to drop.  One pass; the result
-    has one row per column.
+    Of a correlated pair the later column is the one to drop.  One aggregate of six sums serves any
+    number of columns; the result has one row per column.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    counted = df.agg(
-        *[(F.count_if(F.col(c).isNull()) / F.count(F.lit(1))).alias(f"_missing_{c}") for c in columns],
-        *[F.var_samp(c).alias(f"_var_{c}") for c in columns],
-        *[correlation(F.col(a), F.col(b)).alias(f"_corr_{a}__{b}") for a, b in pairs],
+    sums = materialise(pair_sums(df, columns), "pairs")
+    n = F.nullif(F.col("n"), F.lit(0.0))
+    vx, vy = (F.greatest(F.col(f"s{c}{c}") / n - (F.col(f"s{c}") / n) ** 2, F.lit(0.0)) for c in "xy")
+    covariance = F.col("sxy") / n - F.col("sx") / n * (F.col("sy") / n)
+    spread = F.sqrt(vx) * F.sqrt(vy)
+    strongest = (
+        sums.where("a < b")
+        .groupBy("b")
+        .agg(F.max(F.abs(F.when(spread > 1e-12, covariance / spread))).alias("_corr"))
     )
-    rows = []
-    for i, c in enumerate(columns):
-        strongest = [F.abs(F.col(f"_corr_{a}__{c}")) for a in columns[:i]]
-        strongest = F.greatest(F.lit(0.0), F.lit(0.0), *strongest)
-        rows.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.col(f"_missing_{c}").alias("missing"),
-                F.col(f"_var_{c}").alias("variance"),
-                strongest.alias("strongest_corr"),
-            )
-        )
+    rows = df.agg(F.count(F.lit(1)).alias("_rows"))
+    own = sums.where("a = b").select(
+        F.col("a").alias("b"),
+        F.col("n"),
+        F.try_divide(F.col("sxx") - F.col("sx") * F.col("sx") / n, F.col("n") - 1).alias("variance"),
+    )
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "b int, column string")
+    # all sides have one row per column, ``rows`` has one
     return (
-        counted.select(F.explode(F.array(*rows)).alias("_r"))
-        .select("_r.*")
+        names.join(own, "b", "left")
+        .join(strongest, "b", "left")
+        .crossJoin(F.broadcast(rows))
+        .select(
+            "column",
+            F.try_divide(F.col("_rows") - F.coalesce("n", F.lit(0.0)), F.col("_rows")).alias("missing"),
+            F.when(F.col("variance") < 0, 0.0).otherwise(F.col("variance")).alias("variance"),
+            F.coalesce(F.when(~F.isnan("_corr"), F.col("_corr")), F.lit(0.0)).alias("strongest_corr"),
+        )
         .withColumn(
             "drop_column",
             (F.col("missing") > max_missing)

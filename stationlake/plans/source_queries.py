@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -120,6 +121,29 @@ def read_zip_archives(spark, sf_dir):
     return _station_hours(archives.parse_archives(packed))
 
 
+def _store_archives(batches, root):
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"]):
+            store, inner = archives.open_store(f"{root}/{path}")
+            store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(inner) as out:
+                out.write(content)
+        yield batch[["path"]]
+
+
+@query("read_zip_members", STATION_DAY_SQL)
+def read_zip_members(spark, sf_dir):
+    """Archives as files, read member by member."""
+    root = scratch_path(spark, "archives")
+    lines = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("station"), "event_id", _data_line().alias("line")
+    )
+    packed = lines.mapInPandas(_pack, "path string, content binary")
+    stored = packed.mapInPandas(partial(_store_archives, root=root), "path string")
+    stored.write.format("noop").mode("overwrite").save()
+    return _station_hours(archives.read_zip_archives(spark, root))
+
+
 @query("decode_bytes", "SELECT doc_id, text FROM documents")
 def decode_bytes(spark, sf_dir):
     """Texts stored as Latin-1 where that loses nothing, otherwise as UTF-8."""

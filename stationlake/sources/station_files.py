@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stationlake.functions import text
 from stationlake.operators.ordered import attach, attach_stored
 from stationlake.schema import HEADER_ALIASES, MEASURES, READING_TYPE
+from stationlake.session import scratch_path
 
 # First words of the preamble lines, accents folded, and our names.
 PREAMBLE_KEYS = {
@@ -86,6 +87,24 @@ def rejected_files(lines: DataFrame) -> DataFrame:
     return per_file.select("path", reason.alias("reason"), "lines").where("reason is not null")
 
 
+def _split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines of the heads, with their ``kind``, and lines of data: read and classified once.
+
+    One pass writes them to a folder each; the heads' is small, so that nothing reads the
+    data lines but the parser.
+    """
+    tagged = lines.select("path", "line", line_kind(F.col("line")).alias("kind")).where("kind <> 'blank'")
+    spark, path = lines.sparkSession, scratch_path(lines.sparkSession, "lines")
+    tagged.withColumn("part", F.when(F.col("kind") == "data", "data").otherwise("head")).write.partitionBy(
+        "part"
+    ).parquet(path)
+    written = spark.read.schema("path string, line string, kind string, part string").parquet(path)
+    return (
+        written.where("part = 'head'").select("path", "line", "kind"),
+        written.where("part = 'data'").select("path", "line"),
+    )
+
+
 def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFrame:
     """Readings in canonical columns from ``(path, line)`` rows.
 
@@ -94,9 +113,9 @@ def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFra
     Text that does not convert becomes NULL, a row of the wrong length is repaired.
     Files without a header line give no rows; `rejected_files` names and counts them.
     """
-    tagged = lines.withColumn("kind", line_kind(F.col("line")))
+    heads, data = _split_lines(lines)
     key = header_key(F.regexp_extract("line", r"^([^:]*):", 1))
-    heads = tagged.filter(F.col("kind").isin("preamble", "header")).select(
+    heads = heads.select(
         "path",
         F.when(F.col("kind") == "preamble", key).alias("key"),
         F.when(F.col("kind") == "preamble", text.preamble_value(F.col("line"))).alias("value"),
@@ -121,9 +140,7 @@ def parse_station_lines(lines: DataFrame, year: Column | None = None) -> DataFra
         (text.file_year(F.col("path")) if year is None else year).cast("int").alias("_year"),
     )
     # one small row per file, stored: below the broadcast limit no line is shuffled
-    rows = attach_stored(
-        tagged.filter(F.col("kind") == "data").select("path", "line"), files, ["path"], "inner"
-    )
+    rows = attach_stored(data, files, ["path"], "inner")
     # cells in the order of FILE_COLUMNS; arrays keep the generated code small
     row = repair_ragged(fields(F.col("line")), F.col("width"))
     # the outer transform binds the split row, so that it is split once and not per cell

@@ -24,8 +24,7 @@ def read_typed_csv(
     parts = []
     for header, files in _headers(spark, path):
         known = {f.name.lower(): f for f in schema}
-        names = [n.strip().strip('"') for n in header.split(",")]
-        fields = [known.get(n.lower()) for n in names]
+        fields = [known.get(n.strip().lower()) for n in _names(spark, header)]
         # columns the schema doesn't name are read as text and left out
         as_read = T.StructType(
             [f or T.StructField(f"_other_{i}", T.StringType()) for i, f in enumerate(fields)]
@@ -43,6 +42,13 @@ def read_typed_csv(
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
+def _names(spark: SparkSession, header: str) -> list[str]:
+    """The names in a header line as the CSV reader itself cuts it, quotes and all."""
+    line = spark.sparkContext.parallelize([header], 1)
+    row = spark.read.option("header", "false").csv(line).first()
+    return [n or "" for n in row] if row else []
+
+
 def _headers(spark: SparkSession, path: str | list[str]) -> list[tuple[str, list[str]]]:
     """Distinct header lines and the files that have them; one row per file comes back."""
     lines = spark.read.text(path).select(

@@ -85,6 +85,60 @@ def test_read_zip_archives(spark, tmp_path):
     assert {r.year for r in rows} == {2013} and {r.station for r in rows} == {"STATION ONE"}
 
 
+def test_one_task_per_member_and_no_whole_archive(spark, tmp_path, monkeypatch):
+    text = station_file(rows=["2013-01-01;00:00;0,2;21,4;88;"] * 50).encode("latin-1")
+    (tmp_path / "sub").mkdir()
+    for year, names in (("2013", ["a.CSV", "sub/b.csv", "c.csv"]), ("sub/2014", ["d.csv"]), ("2015", [])):
+        with zipfile.ZipFile(tmp_path / f"{year}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("big.bin", bytes(range(256)) * 4000)
+            for name in names:
+                z.writestr(name, text)
+    lines = archives.member_lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == 4
+    assert lines.select("member").distinct().count() == 4 and lines.count() == 4 * 59
+    rows = archives.read_zip_archives(spark, f"file://{tmp_path}")
+    assert sorted((r.year, r["count"]) for r in rows.groupBy("year").count().collect()) == [(2013, 150), (2014, 50)]
+
+    # a reader takes the directory and one member from the file
+    (member,) = [m for m in archives.ZipMemberReader([str(tmp_path)]).partitions() if m.member == "d.csv"]
+    taken, store = [], archives.open_store
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read(self, n=-1):
+            found = self.file.read(n) if n >= 0 else self.file.read()
+            taken.append(len(found))
+            return found
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+    class Store:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def open_input_file(self, path):
+            return Counted(self.inner.open_input_file(path))
+
+    monkeypatch.setattr(archives, "open_store", lambda p: (Store(store(p)[0]), store(p)[1]))
+    assert sum(b.num_rows for b in archives.ZipMemberReader([]).read(member)) == 59
+    assert sum(taken) < 20_000
+
+
+def test_stores_only_spark_can_read():
+    assert archives.scheme_of("viewfs://in/x") not in archives.RANGE_STORES
+    with pytest.raises(ValueError, match="viewfs"):
+        archives.open_store("viewfs://in/x")
+
+
 def test_large_member_is_cut_into_batches(monkeypatch):
     import pandas as pd
 
@@ -113,6 +167,13 @@ def test_typed_csv_gz(spark, tmp_path):
     assert rows == {"ONE": (21.5, 2013), "TWO": (None, 2014), "THREE": (None, None)}
 
 
+def test_typed_csv_with_a_quoted_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('a,"b, x",c\n1,2,3\n')
+    (tmp_path / "b.csv").write_text('"b",c,a\n5,6,4\n')
+    df = tables.read_typed_csv(spark, str(tmp_path), "a int, b int, c int")
+    assert sorted(tuple(r) for r in df.collect()) == [(1, None, 3), (4, 5, 6)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5, 2013)], "station string, x double, year int")
     tables.write_csv_gz(df, str(tmp_path / "csv"))

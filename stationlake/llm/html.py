@@ -35,6 +35,13 @@ BOILERPLATE = frozenset(
     "menu head title object svg canvas audio video option datalist fieldset".split()
 )
 CONTENT = frozenset(("article", "main"))
+#: Elements that separate the text of an article inside a container.
+STRUCTURE = frozenset(
+    "p li ul ol dl dt dd table caption thead tbody tfoot tr td th h1 h2 h3 h4 h5 h6 blockquote pre "
+    "figure figcaption hr details summary address section".split()
+)
+#: A run of which this part of the words lies in an article is that article's, or belongs to it.
+LIES_IN, BELONGS_TO = 0.9, 0.5
 #: Only these can be marked: ids of headings and classes of paragraphs speak of their own text.
 CONTAINERS = frozenset("div section ul ol dl table center".split())
 #: Words in class, id or role that mark a container as no part of an article; what comes behind
@@ -56,22 +63,24 @@ MOST, MOST_COMMENTS = 0.5, 0.9
 #: The head of a page, which inside an article is the article's own.
 HEADS = re.compile(_MARKED.format("header|masthead"), re.I)
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_VALUE = re.compile(r"\s*([\"']?)")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 @dataclass(frozen=True)
 class Weights:
-    """Score of a word, of tags by name, and of other tags."""
+    """Score of a word, of tags by name, of others within an article's text, and of all others.
+
+    The labelled pages need not show lists or tables; what they don't show must not cost more than
+    the words in it.
+    """
 
     word: float = 1.0
     tags: tuple[tuple[str, float], ...] = ()
     other: float = -2.0
+    structure: float = -0.25
 
 
 @dataclass
@@ -84,23 +93,60 @@ class Token:
     score: float = 0.0
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag ends whose name ends at ``at``: behind its ``>``, or at the end of the page.
+
+    Quotes hold a ``>`` back only around a value; one that nothing closes is a character like others.
+    ``last`` has the last place of each quote, so that no search for one runs in vain.
+    """
+    stop = -1
+    while True:
+        if stop < at:
+            stop = page.find(">", at)
+        if stop < 0:
+            return len(page)
+        equals = page.find("=", at, stop)
+        if equals < 0:
+            return stop + 1
+        value = _VALUE.match(page, equals + 1)
+        quote, at = value[1], value.end()
+        if quote and last[quote] >= at:
+            at = page.find(quote, at) + 1
+
+
 def tokens(page: str) -> list[Token]:
-    """Texts and tags of a page in order; comments and declarations are left out."""
+    """Texts and tags of a page in order; comments and declarations are left out.
+
+    One scan forward, in time proportional to the page.
+    """
     out: list[Token] = []
-    at = 0
-    while True:
-        found = _TOKEN.search(page, at)
-        text = page[at : found.start() if found else len(page)]
-        if text:
-            out.append(Token("text", text))
-        if not found:
-            return out
-        at = found.end()
-        if not found.group(2):
+    last = {q: page.rfind(q) for q in "\"'"}
+    begin = at = 0  # of the text, and from where to look for the next tag
+
+    def text(end: int) -> None:
+        if end > begin:
+            out.append(Token("text", page[begin:end]))
+
+    while (start := page.find("<", at)) >= 0:
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            text(start)
+            opens, closes = next(
+                ((o, c) for o, c in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(o, start)),
+                ("<", ">"),
+            )
+            found = page.find(closes, start + len(opens))
+            begin = at = len(page) if found < 0 else found + len(closes)
+            continue
+        end = after == "/"
+        named = _NAME.match(page, start + 1 + end)
+        if not named:
+            at = start + 1
             continue
-        name = found.group(2).lower()
-        end = bool(found.group(1))
-        attributes = _ATTRIBUTE.findall(found.group(3)) if not end else ()
+        text(start)
+        begin = at = _tag_end(page, named.end(), last)
+        name = named[0].lower()
+        attributes = _ATTRIBUTE.findall(page[named.end() : at].removesuffix(">")) if not end else ()
         says = " ".join(value for x in attributes for value in x[1:])
         box = name in CONTAINERS
         out.append(
@@ -114,7 +160,9 @@ def tokens(page: str) -> list[Token]:
         )
         if not end and name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.start() if close else len(page)
+            begin = at = close.start() if close else len(page)
+    text(len(page))
+    return out
 
 
 def unhide(page: list[Token]) -> None:
@@ -225,8 +273,13 @@ def score(page: list[Token], weights: Weights) -> None:
     for token in page:
         if token.kind == "text":
             token.score = weights.word * len(token.text.split())
+        elif token.kind in tags:
+            token.score = tags[token.kind]
         else:
-            token.score = tags.get(token.kind, weights.other)
+            name = token.kind.removeprefix("/")
+            inner = name in STRUCTURE or name in INLINE
+            # a link of one word is worth nothing
+            token.score = -weights.word / 2 if name == "a" else weights.structure if inner else weights.other
 
 
 def best_run(page: list[Token]) -> tuple[int, int]:
@@ -242,6 +295,49 @@ def best_run(page: list[Token]) -> tuple[int, int]:
     return span
 
 
+def whole_article(page: list[Token], first: int, end: int) -> tuple[int, int]:
+    """The run, or the ends of the innermost article or main that it lies in.
+
+    A run that lies in one only for the larger part reaches from the first to the last of both.
+    """
+    words = [0]
+    for token in page:
+        words.append(words[-1] + (len(token.text.split()) if token.kind == "text" else 0))
+    spans, open_, count = [], [], Counter()
+    for i, token in enumerate([*page, Token("")]):
+        name = token.kind
+        if name.startswith("/") and count[name[1:]] or not name:
+            while open_:
+                opened, at = open_.pop()
+                count[opened] -= 1
+                if opened in CONTENT:
+                    spans.append((at, i))
+                if opened == name[1:]:
+                    break
+        elif name != "text" and not name.startswith("/") and name not in VOID:
+            open_.append((name, i))
+            count[name] += 1
+    own = words[end] - words[first]
+    if not own:
+        return first, end
+
+    def innermost(part: float) -> tuple[int, int, int] | None:
+        return min(
+            (
+                (b - a, a, b)
+                for a, b in spans
+                if max(a, first) < min(b, end) and words[min(b, end)] - words[max(a, first)] >= part * own
+            ),
+            default=None,
+        )
+
+    if found := innermost(LIES_IN):
+        return found[1:]
+    if found := innermost(BELONGS_TO):
+        return min(found[1], first), max(found[2], end)
+    return first, end
+
+
 def blocks(run: list[Token]) -> list[str]:
     """Texts of blocks: references decoded, white space made one space, ends trimmed."""
     out, parts = [], []
@@ -260,10 +356,10 @@ def blocks(run: list[Token]) -> list[str]:
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """Blocks of the best run, joined by an empty line."""
+    """Blocks of the best run, or of the article it lies in, joined by an empty line."""
     kept = useful(tokens(page or ""))
     score(kept, weights)
-    first, end = best_run(kept)
+    first, end = whole_article(kept, *best_run(kept))
     return "\n\n".join(blocks(kept[first:end]))
 
 
@@ -326,7 +422,9 @@ def fit(pages: DataFrame, fit_rows: int = 20_000, most_kinds: int = 1000) -> Wei
     # a word counts 1 at most and a tag at least -5, so that ten words outweigh two tags
     word = min(1.0, max(0.1, ratio.pop("text", 1.0)))
     tags = {k: max(-5.0, min(-0.1, v)) for k, v in ratio.items()}
-    return Weights(word, tuple(sorted(tags.items())))
+    seen = [v for k, v in tags.items() if k.removeprefix("/") in STRUCTURE]
+    structure = max(-word / 4, sum(seen) / len(seen) if seen else -word / 4)
+    return Weights(word, tuple(sorted(tags.items())), structure=structure)
 
 
 def _extract(batches, weights: Weights, carry: list[str]):

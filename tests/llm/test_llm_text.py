@@ -4,6 +4,7 @@ import itertools
 import re
 import struct
 import textwrap
+import time
 from pydoc_data.topics import topics
 
 import numpy as np
@@ -379,3 +380,67 @@ def test_unigram_model():
     ours = pieces.tokenizer(data)
     assert ours.encode(texts) == theirs.encode(texts)
     assert ours.decode(theirs.encode(texts)) == [theirs.decode(x) if x else "" for x in theirs.encode(texts)]
+
+
+TABLE = "<table><tr><th>Year</th><th>Sum</th></tr>" + "".join(
+    f"<tr><td>{1990 + i}</td><td>{i}</td></tr>" for i in range(20)
+) + "</table>"
+ITEMS = "<ul>" + "".join(f"<li>item {i}</li>" for i in range(20)) + "</ul>"
+TERMS = "<dl>" + "".join(f"<dt>term{i}</dt><dd>meaning</dd>" for i in range(20)) + "</dl>"
+CODE = "<pre><code>" + "\n".join(f"x{i} = {i}" for i in range(20)) + "</code></pre>"
+FIGURE = "<figure><img src=a.png><figcaption>A view.</figcaption></figure>"
+HEADS_ = "<h2>By Me</h2><h3>Part</h3>"
+QUOTE = "<blockquote>Short <a href=x>linked</a> words.</blockquote>"
+PROSE = "<p>" + "Some words of a paragraph that is long enough to matter. " * 3 + "</p>"
+
+
+@pytest.fixture(scope="module")
+def page_weights(spark):
+    return html.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("inner", [TABLE, ITEMS, TERMS, CODE, FIGURE, HEADS_, QUOTE], ids=lambda x: x[1:6])
+@pytest.mark.parametrize("place", [0, 2, 4])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_articles_keep_lists_tables_and_headings(page_weights, inner, place, tag):
+    parts = [PROSE] * 4
+    parts.insert(place, inner)
+    body = "".join(parts)
+    page = (
+        "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>"
+        f"<{tag}><h1>Title</h1>{body}</{tag}><footer>the end</footer></body></html>"
+    )
+    words = html.entities.unescape(html.re.sub("<[^>]*>", " ", f"<h1>Title</h1>{body}")).split()
+    assert html.main_text(page, page_weights).split() == words
+
+
+@pytest.mark.parametrize("unit", ["<p title='x' ", "<a ", '<a href="', "<a b='", "<!--", "<p a=b c=d ", "<p>", "<", "<p a='>' b "])
+def test_bad_pages_take_time_in_proportion(unit):
+    def seconds(n):
+        begin = time.perf_counter()
+        html.main_text(unit * n + '"', html.Weights())
+        return time.perf_counter() - begin
+
+    seconds(100)
+    assert seconds(80_000) < 10 * seconds(20_000) + 0.5
+
+
+def test_odd_quotes_leave_no_markup():
+    weights = html.Weights()
+    assert html.main_text('<p>one <img alt="5" tall"> two</p>', weights) == "one two"
+    assert html.main_text("<p>one <img alt='a > b'> two <b title=it's>three</b></p>", weights) == "one two three"
+    assert "<" not in html.main_text('<p class="x>one</p><p>two words', weights)
+    assert html.main_text("a < b <1 <", weights) == "a < b <1 <"
+
+
+def test_very_long_page_comes_out_whole():
+    page = "<article>" + "<p>word &amp; word</p>" * 100_000 + "</article>"
+    assert html.main_text(page, html.Weights()).count("word & word") == 100_000
+
+
+def test_nested_and_several_articles(page_weights):
+    nested = f"<main><p>lead of the page</p><article>{PROSE}</article></main><div>far away words</div>"
+    assert html.main_text(nested, page_weights).startswith("lead of the page\n\nSome words")
+    assert "far away" not in html.main_text(nested, page_weights)
+    two = f"<article>{PROSE}</article><article>{PROSE}</article>"
+    assert len(html.main_text(two, page_weights).split()) == 2 * len(html.re.sub("<[^>]*>", " ", PROSE).split())

@@ -1,7 +1,8 @@
 """Line deduplication: lines that many documents share stay in one of them.
 
 Only DataFrame functions run.  A line is known by two 64-bit hashes of its key, so texts
-are shuffled once, when the lines to drop come back to their documents.
+are shuffled once, when the positions of the lines to drop come back to their documents.
+The work grows with the number of lines, also within one document.
 """
 
 from __future__ import annotations
@@ -19,17 +20,51 @@ def _key(line: Column) -> Column:
     return lower_ascii(F.btrim(line, F.lit(SPACES)))
 
 
-def _hash(key: Column) -> Column:
+def _hash(key: Column) -> list[Column]:
     """128 bits, as two independent hashes of 64."""
-    return F.struct(
-        F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), F.reverse(key)).alias("h2")
-    )
+    return [F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), F.reverse(key)).alias("h2")]
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _long_lines(text: Column, least_chars: int) -> Column:
+    """Hash, position and whether it is the first with its hash, of each line with a long key."""
+    keyed = F.transform(_lines(text), lambda line, i: F.struct(_key(line).alias("key"), i.alias("pos")))
+    long = F.filter(keyed, lambda x: F.char_length(x["key"]) >= least_chars)
+    hashed = F.sort_array(F.transform(long, lambda x: F.struct(*_hash(x["key"]), x["pos"].alias("pos"))))
+
+    def flagged(all_: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.get(all_, i - 1)
+            again = (before["h1"] == x["h1"]) & (before["h2"] == x["h2"])
+            return F.struct(
+                x["h1"].alias("h1"), x["h2"].alias("h2"), x["pos"].alias("pos"),
+                (~F.coalesce(again, F.lit(False))).alias("first"),
+            )
+
+        return F.transform(all_, one)
+
+    # the outer transform binds the sorted array, so that it is not made again for each line
+    return F.transform(F.array(hashed), flagged)[0]
+
+
+def _without(split: Column, drop: Column) -> Column:
+    """The lines between the positions to drop, which are sorted."""
+
+    def between(bounds: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                F.sequence(F.lit(1), F.size(bounds) - 1),
+                lambda k: F.slice(split, bounds[k - 1] + 2, bounds[k] - bounds[k - 1] - 1),
+            )
+        )
+
+    ends = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(split)))
+    return F.transform(F.array(ends), between)[0]
+
+
 def dedup_lines(
     docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS
 ) -> DataFrame:
@@ -44,16 +79,15 @@ def dedup_lines(
     each count as a document, and all of them may be the largest.  A row without doc_id
     counts and is never the largest.  Input columns named like the three results are replaced.
     """
-    key = F.transform(_lines(F.col("text")), _key)
-    long_keys = F.filter(key, lambda k: F.char_length(k) >= least_chars)
-    hashes = F.array_distinct(F.transform(long_keys, _hash))
+    # rows may share a doc_id: the text's hash tells them apart, and spreads those without one
+    told = F.xxhash64("text")
     lines = materialise(
-        docs.select("doc_id", F.explode(hashes).alias("h")).select("doc_id", "h.h1", "h.h2"),
-        "lines",
+        docs.select("doc_id", told.alias("told"), F.inline(_long_lines(F.col("text"), least_chars))), "lines"
     )
     # written, so that its size is known and a join may split a line that many documents have
     common = materialise(
-        lines.groupBy("h1", "h2")
+        lines.where("first")
+        .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("last"))
         .where(F.col("n") >= least_docs)
         .select("h1", "h2", "last"),
@@ -62,25 +96,20 @@ def dedup_lines(
     drops = (
         lines.join(common, ["h1", "h2"])
         .where(~F.col("doc_id").eqNullSafe(F.col("last")))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_drop"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("told").alias("_told"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("_drop"))
     )
-    joined = docs.drop("_id", "_drop", "_kept").join(
-        drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left"
+    joined = docs.drop("_id", "_told", "_drop", "_split", "_kept").join(
+        drops, F.col("doc_id").eqNullSafe(F.col("_id")) & (told == F.col("_told")), "left"
     )
-    split = _lines(F.col("text"))
-
-    def stays(line: Column) -> Column:
-        k = _key(line)
-        return (F.char_length(k) < least_chars) | ~F.array_contains("_drop", _hash(k))
-
-    kept = F.when(F.col("_drop").isNull(), split).otherwise(F.filter(split, stays))
+    split = F.col("_split")
     return (
-        joined.withColumn("_kept", kept)
-        .withColumn("n_lines", F.size(split).cast("long"))
-        .withColumn("n_dropped", (F.size(split) - F.size("_kept")).cast("long"))
+        joined.withColumn("_split", _lines(F.col("text")))
+        .withColumn("_kept", F.when(F.col("_drop").isNull(), split).otherwise(_without(split, F.col("_drop"))))
+        .withColumn("n_lines", F.size("_split").cast("long"))
+        .withColumn("n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
         .withColumn("kept_text", F.array_join("_kept", "\n"))
-        .drop("_id", "_drop", "_kept")
+        .drop("_id", "_told", "_drop", "_split", "_kept")
     )
 
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import string
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from stationlake.llm import lines, near_duplicates
 
@@ -172,3 +174,24 @@ def test_very_long_text(spark):
     long_text = " ".join(words(rng, 60_000))
     rows = [(1, long_text), (2, long_text + " end"), (3, "other words")]
     assert [(r[0], r[2]) for r in near(spark, rows)] == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_lines_of_a_long_document_take_time_in_proportion(spark):
+    def seconds(n):
+        rows = [(i, "\n".join(f"line number {j} of a document of many different lines" for j in range(n)))
+                for i in range(6)]
+        begin = time.perf_counter()
+        found = lines.dedup_lines(frame(spark, rows)).agg(F.sum("n_dropped"), F.sum("n_lines")).first()
+        assert tuple(found) == (5 * n, 6 * n)
+        return time.perf_counter() - begin
+
+    seconds(100)
+    short, long = seconds(20_000), seconds(80_000)
+    assert long < 8 * short + 2
+
+
+def test_rows_that_share_an_id_lose_their_own_lines(spark):
+    shared = "a line that all of these documents have in common"
+    rows = [(1, f"x\n{shared}"), (1, f"{shared}\ny\n{shared}"), (None, shared), (None, f"q\n{shared}"), (2, shared), (1, f"x\n{shared}")]
+    got = sorted((r.doc_id or 0, r.kept_text, r.n_dropped) for r in lines.dedup_lines(frame(spark, rows)).collect())
+    assert got == sorted([(1, "x", 1), (1, "y", 2), (0, "", 1), (0, "q", 1), (2, shared, 0), (1, "x", 1)])

@@ -51,18 +51,23 @@ def _long_lines(text: Column, least_chars: int) -> Column:
 
 
 def _without(split: Column, drop: Column) -> Column:
-    """The lines between the positions to drop, which are sorted."""
+    """The lines but those at the positions to drop, which are sorted."""
 
-    def between(bounds: Column) -> Column:
+    def stays(bounds: Column) -> Column:
+        # true for the lines between two positions, false for the one at the second
         return F.flatten(
             F.transform(
                 F.sequence(F.lit(1), F.size(bounds) - 1),
-                lambda k: F.slice(split, bounds[k - 1] + 2, bounds[k] - bounds[k - 1] - 1),
+                lambda k: F.concat(
+                    F.array_repeat(F.lit(True), bounds[k] - bounds[k - 1] - 1), F.array(F.lit(False))
+                ),
             )
         )
 
-    ends = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(split)))
-    return F.transform(F.array(ends), between)[0]
+    bounds = F.concat(F.array(F.lit(-1)), drop, F.array(F.size(split)))
+    flags = F.transform(F.array(bounds), stays)
+    # bound by a transform each, so that neither array is made again for each line
+    return F.transform(flags, lambda f: F.filter(split, lambda _, i: F.get(f, i)))[0]
 
 
 def dedup_lines(
@@ -81,8 +86,10 @@ def dedup_lines(
     """
     # rows may share a doc_id: the text's hash tells them apart, and spreads those without one
     told = F.xxhash64("text")
+    # hashed below the generator, where it is done once for each text and not for each line
+    texts = docs.select("doc_id", told.alias("told"), F.col("text").alias("t"))
     lines = materialise(
-        docs.select("doc_id", told.alias("told"), F.inline(_long_lines(F.col("text"), least_chars))), "lines"
+        texts.select("doc_id", "told", F.inline(_long_lines(F.col("t"), least_chars))), "lines"
     )
     # written, so that its size is known and a join may split a line that many documents have
     common = materialise(

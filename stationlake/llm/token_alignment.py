@@ -30,13 +30,13 @@ BYTE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 TABLE_PAIRS = 2_000_000
 
 #: Pairs a task gathers before it hands them on, and entries of a group of counts.
-TASK_PAIRS = 500_000
+TASK_PAIRS = 250_000
 
 #: Vectors that one node of the tree adds up.
 TREE_FAN = 16
 
 #: Text tokenized at once, in bytes.
-TOKENIZED_BYTES = 300_000
+TOKENIZED_BYTES = 200_000
 
 #: Fixed value: what byte-level tokenizers split a text by before their merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -47,7 +47,7 @@ _SHIFT = 1 << 31
 _LONG_SPACE = re.compile(r"\s{2000}")
 
 #: Tokens aligned at once; arrays of a batch take about a hundred bytes for each.
-ALIGNED_TOKENS = 500_000
+ALIGNED_TOKENS = 200_000
 
 _SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 

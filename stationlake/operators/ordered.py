@@ -246,34 +246,97 @@ def neighbours(
     )
 
 
+#: Cells a bracket is cut into; a bracket has at most one row more than these per round.
+CELLS = 4096
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], column: str, levels: dict[str, float]
 ) -> DataFrame:
     """Linear-interpolation quantiles per series: one column per entry of ``levels``.
 
-    Equal values are counted first, the distinct values are numbered by
-    `lay_out`, and the two order statistics of each level are picked by an
-    aggregate, so that no series is collected into one task.
+    Equal values are counted first and nothing is sorted: each order statistic starts with the bracket
+    from the smallest to the largest value, which is cut into cells; the cell that holds its rank,
+    with the values it really has, is the next bracket, until a bracket is a single value.
     """
-    counts = (
+    counts = materialise(
         df.filter(F.col(column).isNotNull())
-        .groupBy(*keys, column)
-        .agg(F.count(F.lit(1)).alias("_weight"))
+        .groupBy(*keys, F.col(column).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_w")),
+        "values",
+    )
+    spans = materialise(
+        counts.groupBy(*keys).agg(
+            F.sum("_w").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        ),
+        "spans",
+    )
+    endless = F.isnan("_hi") | (F.abs("_hi") == float("inf")) | (F.abs("_lo") == float("inf"))
+    if not spans.where(endless).isEmpty():
+        return _sorted_quantiles(counts, keys, levels)
+    targets = []
+    for name, level in levels.items():
+        at = F.lit(float(level)) * (F.col("_n") - 1)
+        targets += [
+            F.struct(F.lit(f"{side}_{name}").alias("_target"), rank.cast("long").alias("_rank"))
+            for side, rank in (("_lo", F.floor(at)), ("_hi", F.ceil(at)))
+        ]
+    brackets = spans.select(
+        *keys, "_n", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.inline(F.array(*targets))
+    )
+    found = []
+    while True:
+        brackets = materialise(brackets, "brackets")
+        found.append(brackets.where("_lo = _hi"))
+        open_ = brackets.where("_lo < _hi")
+        if open_.isEmpty():
+            break
+        brackets = _narrowed(counts, open_, keys)
+    picked = reduce(DataFrame.unionByName, found)
+    sides = [F.max(F.when(F.col("_target") == f"{s}_{n}", F.col("_lo"))).alias(f"{s}_{n}") for n in levels for s in ("_lo", "_hi")]
+    grouped = picked.groupBy(*keys).agg(F.max("_n").alias("_n"), *sides)
+    return grouped.select(*keys, *_between(levels))
+
+
+def _narrowed(counts: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Each bracket cut down to the cell that holds its rank."""
+    v, low, high = F.col("_v"), F.col("_lo"), F.col("_hi")
+    # halves, so that the width of a bracket does not overflow; its ends lie in different cells
+    part = (v / 2 - low / 2) / (high / 2 - low / 2)
+    cells = (
+        attach(counts, brackets, keys, "inner")
+        .where(v.between(low, high))
+        .groupBy(*keys, "_target", "_n", "_rank", "_below", F.floor(part * CELLS).cast("int").alias("_cell"))
+        .agg(F.sum("_w").alias("_w"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     )
-    laid = lay_out(counts, keys, [column], weight="_weight")
+    # a series has at most ``CELLS + 1`` rows here for each order statistic
+    upto = Window.partitionBy(*keys, "_target").orderBy("_cell")
+    before = F.col("_below") + F.sum("_w").over(upto) - F.col("_w")
+    return (
+        cells.withColumn("_before", before)
+        .where((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_w")))
+        .select(*keys, "_n", "_lo", "_hi", F.col("_before").cast("long").alias("_below"), "_target", "_rank")
+    )
+
+
+def _between(levels: dict[str, float]) -> list[Column]:
+    """The quantiles from the order statistics at both sides."""
+    out = []
+    for name, level in levels.items():
+        at = float(level) * (F.col("_n") - 1)
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append((low + (high - low) * (at - F.floor(at))).alias(name))
+    return out
+
+
+def _sorted_quantiles(counts: DataFrame, keys: list[str], levels: dict[str, float]) -> DataFrame:
+    """The same by numbering the distinct values: the way for series with endless values."""
+    laid = lay_out(counts, keys, ["_v"], weight="_w")
     picks = []
     for name, level in levels.items():
         at = F.lit(float(level)) * (F.col(SIZE) - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
-            covers = (F.col(POS) <= rank) & (rank < F.col(POS) + F.col("_weight"))
-            picks.append(F.max(F.when(covers, F.col(column))).alias(f"_{side}_{name}"))
+        for side, rank in (("_lo", F.floor(at)), ("_hi", F.ceil(at))):
+            covers = (F.col(POS) <= rank) & (rank < F.col(POS) + F.col("_w"))
+            picks.append(F.max(F.when(covers, F.col("_v"))).alias(f"{side}_{name}"))
     grouped = laid.groupBy(*keys).agg(F.max(SIZE).alias("_n"), *picks)
-    out = [
-        (
-            F.col(f"_lo_{name}")
-            + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-            * (float(level) * (F.col("_n") - 1) - F.floor(float(level) * (F.col("_n") - 1)))
-        ).alias(name)
-        for name, level in levels.items()
-    ]
-    return grouped.select(*keys, *out)
+    return grouped.select(*keys, *_between(levels))

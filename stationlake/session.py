@@ -56,22 +56,30 @@ def ship_package(spark: SparkSession) -> None:
 
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 
+#: More partitions than this cost the driver more than they spare the tasks.
+MOST_PARTITIONS = 50_000
+
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
 
 def size_shuffles(spark: SparkSession, *paths: str) -> int:
-    """Raise the number of shuffle partitions to about 128 MB of input each.
+    """Let shuffles of the next query start with about 128 MB of its inputs per partition.
 
-    The setting is never lowered, and adaptive execution merges partitions that
-    turn out small.  Returns the number now set.
+    Adaptive execution merges partitions that turn out small.  Inputs for which the session's number of
+    partitions is enough take back what an earlier call has set.  Returns the number in force.
     """
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     total = 0
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         total += path.getFileSystem(hadoop).getContentSummary(path).getLength()
-    key = "spark.sql.shuffle.partitions"
-    wanted = max(int(spark.conf.get(key)), -(-total // TARGET_PARTITION_BYTES))
-    spark.conf.set(key, str(wanted))
-    return wanted
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MOST_PARTITIONS, -(-total // TARGET_PARTITION_BYTES))
+    if wanted > usual:
+        spark.conf.set(_INITIAL, str(wanted))
+    else:
+        spark.conf.unset(_INITIAL)
+    return max(wanted, usual)
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -185,6 +185,34 @@ def test_exact_quantiles_with_many_equal_values(spark):
     assert (got["b"].lo, got["b"].hi) == (7.0, 7.0)
 
 
+@pytest.mark.parametrize("cells", [2, 5, 4096])
+def test_exact_quantiles_of_awkward_values(spark, monkeypatch, cells):
+    from stationlake.operators import ordered
+
+    monkeypatch.setattr(ordered, "CELLS", cells)
+    rng = np.random.default_rng(4)
+    series = {
+        "wide": np.r_[rng.normal(0, 1, 60), 1e308, -1e308, 1e-300, -1e-300],
+        "near": 20 + rng.integers(0, 9, 80) * 1e-12,
+        "jump": np.r_[np.zeros(50), np.full(3, 1e6)],
+        "one": np.array([3.0]),
+        "two": np.array([-1.0, 2.0]),
+    }
+    rows = [(k, i, float(x)) for k, v in series.items() for i, x in enumerate(v)] + [("none", 0, None)]
+    levels = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.77, "e": 1.0}
+    got = {r.station: r for r in exact_quantiles(frame(spark, rows), KEYS, "x", levels).collect()}
+    assert set(got) == set(series)
+    for k, v in series.items():
+        for name, level in levels.items():
+            at = level * (len(v) - 1)
+            low, high = np.sort(v)[[int(np.floor(at)), int(np.ceil(at))]]
+            assert got[k][name] == pytest.approx(low + (high - low) * (at - np.floor(at)), rel=1e-12, abs=1e-12), (k, name)
+    # endless values have no width to cut; without keys all rows are one series
+    odd = frame(spark, [("a", 0, float("inf")), ("a", 1, 1.0), ("a", 2, 2.0)])
+    assert exact_quantiles(odd, KEYS, "x", {"m": 0.5, "lo": 0.0}).first()[1:] == (2.0, 1.0)
+    assert exact_quantiles(frame(spark, rows[:64]), [], "x", {"m": 0.5}).first().m == pytest.approx(np.quantile(series["wide"], 0.5))
+
+
 @pytest.mark.parametrize("stride", [1, 3, 8, 20])
 def test_sequences(spark, stride):
     rows = random_rows(11, missing=0.0)

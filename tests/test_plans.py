@@ -14,7 +14,7 @@ from stationlake.sources import links, tables
 SF_DIR = "/root/testdata/sf0.001"
 PYTHON_ALLOWED = {
     "read_zip_archives", "fit_ar1", "fit_seasonal_ar", "grid_search_cv", "grid_search_best",
-    "grid_search_full", "predict_in_sample", "forecast_horizon_ar",
+    "grid_search_full", "predict_in_sample", "forecast_horizon_ar", "forecast_horizon_days",
 }
 
 
@@ -80,14 +80,63 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
 def test_shuffle_partitions_follow_the_input(spark, monkeypatch):
     from stationlake import session
 
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    assert session.size_shuffles(spark, SF_DIR) == int(usual)
+    assert spark.conf.get(session._INITIAL, None) is None
     try:
-        assert session.size_shuffles(spark, SF_DIR) == int(before)
         monkeypatch.setattr(session, "TARGET_PARTITION_BYTES", 1000)
-        assert session.size_shuffles(spark, SF_DIR) > int(before)
+        entry.queries()["null_sentinels"](spark, SF_DIR)
+        sized = int(spark.conf.get(session._INITIAL))
+        assert sized > int(usual) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        monkeypatch.setattr(session, "MOST_PARTITIONS", 9)
+        assert session.size_shuffles(spark, SF_DIR) == 9
     finally:
-        spark.conf.set(key, before)
+        monkeypatch.undo()
+        # the next query takes its own number
+        entry.queries()["null_sentinels"](spark, SF_DIR)
+    assert spark.conf.get(session._INITIAL, None) is None
+
+
+def jobs_of(spark, group, run):
+    context = spark.sparkContext
+    context.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_few_jobs_for_residuals_and_the_whole_grid(spark):
+    from stationlake.operators import evaluation, forecasting
+
+    rows, hours = standins.forecasts(spark, SF_DIR), standins.filled_grid(spark, SF_DIR)
+    diagnostics = lambda: evaluation.residual_diagnostics(rows, ["station", "model"], "temp_c", ["hour_ts"]).collect()
+    assert jobs_of(spark, "residuals", diagnostics) <= 10
+    orders = forecasting.param_grid()
+    assert jobs_of(spark, "orders", lambda: forecasting.grid_search_cv(hours, ["station"], "temp_c", orders).collect()) <= 20
+    # one pass over blocks for all differencings
+    moments = forecasting._all_moments(hours, ["station"], "temp_c", forecasting._differencings(orders), 3, 0, 1000)
+    plan = moments._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and plan.count("explode") == 1
+
+
+def test_station_lines_are_read_and_classified_once(spark, tmp_path):
+    from stationlake.sources import station_files
+
+    (tmp_path / "a.csv").write_text("UF:;DF\nDATA;HORA;TEMPERATURA DO AR - BULBO SECO, HORARIA (°C)\n2013-01-01;00:00;1\n")
+    out = station_files.read_station_files(spark, str(tmp_path))
+    plan = plan_of(out)
+    assert "[value" not in plan and "RLIKE" not in plan.upper()
+    assert out.count() == 1
+
+
+def test_quantiles_sort_no_values(spark, monkeypatch):
+    from stationlake.operators import ordered
+
+    monkeypatch.setattr(ordered, "lay_out", None)
+    rows = standins.cleared(spark, SF_DIR)
+    assert ordered.exact_quantiles(rows, ["station"], "temp_c", {"m": 0.5}).count() == 5
 
 
 def test_means_are_broadcast_without_shuffling_the_readings(spark):

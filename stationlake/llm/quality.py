@@ -33,6 +33,10 @@ class Bands:
     to 3.3 MB, as level 3 finds repeated strings within 2 MiB.  ``chunk_share``: the part of
     chunks that may be outside ``chunk``; a last piece under half a chunk joins the chunk before.
 
+    A character of several bytes repeats its lead bytes, so prose in such scripts compresses further in
+    bytes and less far in characters.  Beyond ``plain_width`` bytes a character on average, the lowest
+    limits are divided by how many times as wide a text is, and the highest rise by ``wide_rise``.
+
     Symbols between words of junk compress about as far as natural prose: texts with over
     ``symbol_share`` of them among their characters have the narrower ``symbol_whole`` and ``symbol_chunk``.
     """
@@ -90,6 +94,8 @@ class Bands:
     chunk: tuple[float, float] = (0.33, 0.60)
     symbol_chunk: tuple[float, float] = (0.41, 0.60)
     chunk_share: float = 0.2
+    plain_width: float = 1.25
+    wide_rise: float = 0.08
     level: int = 3
 
 
@@ -98,14 +104,20 @@ def _ratio(packer: zstandard.ZstdCompressor, data: bytes) -> float:
 
 
 def compression(
-    data: bytes, bands: Bands, packer: zstandard.ZstdCompressor, symbols: bool = False
+    data: bytes, bands: Bands, packer: zstandard.ZstdCompressor, symbols: bool = False, width: float = 1.0
 ):
-    """Ratio of the whole, chunks, chunks outside their limits, verdict; by those for ``symbols``."""
+    """Ratio of the whole, chunks, chunks outside their limits, verdict.
+
+    By the limits for ``symbols`` or for other texts, at ``width`` bytes a character.
+    """
     limits, chunk = (
         (bands.symbol_whole, bands.symbol_chunk) if symbols else (bands.whole, bands.chunk)
     )
     whole = _ratio(packer, data)
-    low, high = [b[1:] for b in limits if len(data) >= b[0]][-1]
+    wide = max(1.0, width / bands.plain_width)
+    rise = bands.wide_rise * (wide - 1)
+    low, high = [(b[1] / wide, b[2] + rise) for b in limits if len(data) >= b[0]][-1]
+    chunk = (chunk[0] / wide, chunk[1] + rise)
     passes = low <= whole <= high
     count = max(1, (len(data) + bands.chunk_bytes // 2) // bands.chunk_bytes)
     outside = 0
@@ -176,7 +188,8 @@ def verdict(text: str, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
     failed = found[0] < 10 or 100 * found[4] > 20 * found[0]
     data = text.encode("utf-8", "surrogatepass")
     symbols = found[2] > bands.symbol_share * found[1]
-    ratio, chunks, outside, passes = compression(data, bands, packer, symbols)
+    width = len(data) / max(1, len(text))
+    ratio, chunks, outside, passes = compression(data, bands, packer, symbols, width)
     return (*found, failed, passes and not failed, ratio, chunks, outside)
 
 

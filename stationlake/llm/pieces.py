@@ -249,7 +249,7 @@ def _decode(batches, data: bytes, carry: list[str]):
 
 
 def encode(
-    docs: DataFrame, carry: list[str], model_file: str = MODEL_FILE, threads: int = 1
+    docs: DataFrame, carry: list[str], model_file: str = MODEL_FILE, threads: int | None = None
 ) -> DataFrame:
     """The columns ``carry`` of ``docs`` and the pieces of every whole text.
 
@@ -257,8 +257,11 @@ def encode(
     decoding gives the text again (a text with U+2581 does not), ``parity`` whether SentencePiece
     itself gives the same ids.  A null or empty text has no ids.  Each row stands alone, so repeated
     rows get equal results; no rows give no rows.  Columns not carried are ignored,
-    one named like a result is left out.  ``threads`` are those of one task.
+    one named like a result is left out.  A task encodes its batches with ``threads`` threads, by default
+    as many as ``spark.task.cpus`` gives it.
     """
+    if threads is None:
+        threads = int(docs.sparkSession.sparkContext.getConf().get("spark.task.cpus", "1"))
     carry, ddl = carried(docs, carry, {"n_tokens", "ids", "round_trip", "parity", "_text"})
     taken = docs.select(
         *[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text")

@@ -444,3 +444,62 @@ def test_nested_and_several_articles(page_weights):
     assert "far away" not in html.main_text(nested, page_weights)
     two = f"<article>{PROSE}</article><article>{PROSE}</article>"
     assert len(html.main_text(two, page_weights).split()) == 2 * len(html.re.sub("<[^>]*>", " ", PROSE).split())
+
+
+# The opening of a human-rights declaration, as prose of other scripts.
+DECLARATION = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и "
+    "должны поступать в отношении друг друга в духе братства. Каждый человек должен обладать всеми правами и всеми "
+    "свободами, провозглашенными настоящей Декларацией, без какого бы то ни было различия, как-то в отношении расы, "
+    "цвета кожи, пола, языка, религии, политических или иных убеждений, национального или социального происхождения, "
+    "имущественного, сословного или иного положения.",
+    "hi": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और "
+    "अन्तरात्मा की देन प्राप्त है और परस्पर उन्हें भाईचारे के भाव से बर्ताव करना चाहिए। सभी को इस घोषणा में सन्निहित सभी "
+    "अधिकारों और आज़ादियों को प्राप्त करने का हक़ है और इस मामले में जाति, वर्ण, लिंग, भाषा, धर्म, राजनीति या अन्य "
+    "विचार-प्रणाली, किसी देश या समाज विशेष में जन्म, सम्पत्ति या किसी प्रकार की अन्य मर्यादा आदि के कारण भेदभाव का विचार "
+    "न किया जाएगा।",
+    "th": "มนุษย์ทั้งหลายเกิดมามีอิสระและเสมอภาคกันในเกียรติศักดิ์และสิทธิ ต่างมีเหตุผลและมโนธรรม และควรปฏิบัติต่อกัน"
+    "ด้วยเจตนารมณ์แห่งภราดรภาพ ทุกคนย่อมมีสิทธิและอิสรภาพทั้งปวงตามที่กำหนดไว้ในปฏิญญานี้ โดยปราศจากความแตกต่างไม่ว่าชนิดใด ๆ "
+    "ดังเช่น เชื้อชาติ ผิว เพศ ภาษา ศาสนา ความคิดเห็นทางการเมืองหรือทางอื่น",
+    "zh": "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利"
+    "和自由，不分种族、肤色、性别、语言、宗教、政治或其他见解、国籍或社会出身、财产、出生或其他身分等任何区别。并且不得因一人所属的"
+    "国家或领土的政治的、行政的或者国际的地位之不同而有所区别，无论该领土是独立领土、托管领土、非自治领土或者处于其他任何主权受限制的情况之下。",
+}
+
+
+def other_prose(lang, size):
+    """Words by falling frequency, made of the letters of a passage as often as it has them."""
+    rng = np.random.default_rng(size)
+    letters = [c for c in DECLARATION[lang] if c not in " ,.，。、"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(20_000)]
+    rank = 1 / np.arange(1, len(words) + 1)
+    text, width = [], 0
+    while width < size:
+        text += [words[i] for i in rng.choice(len(words), 500, p=rank / rank.sum())]
+        width = len(" ".join(text).encode())
+    return " ".join(text).encode()[:size].decode("utf-8", "ignore")
+
+
+@pytest.mark.parametrize("lang", sorted(DECLARATION))
+def test_prose_of_other_scripts_is_kept(lang):
+    bands, packer = quality.Bands(), zstandard.ZstdCompressor(level=3, write_content_size=False)
+
+    def passes(text):
+        data = text.encode()
+        return quality.compression(data, bands, packer, False, len(data) / len(text))[3]
+
+    assert passes(DECLARATION[lang])
+    for size in (1000, 10_000, 100_000, 1_000_000):
+        assert passes(other_prose(lang, size)), size
+    assert not passes(DECLARATION[lang] * 30)
+    if lang != "zh":  # no spaces: under ten words by the base rule
+        assert quality.verdict(DECLARATION[lang], bands, packer)[6]
+
+
+def test_threads_change_no_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200).select("doc_id", "text")
+    found = [
+        sorted((r.doc_id, tuple(r.ids), r.parity) for r in pieces.encode(docs, ["doc_id"], threads=n).collect())
+        for n in (1, 4, None)
+    ]
+    assert found[0] == found[1] == found[2] and all(r[2] for r in found[0])

@@ -1,12 +1,13 @@
 """Sharding, mixing, neighbours and the pipeline."""
 
+import re
 import zlib
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from stationlake.llm import common, lines, mixing, near_duplicates, neighbours, quality, sharding
+from stationlake.llm import common, lines, mixing, near_duplicates, neighbours, pieces, quality, sharding
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, source string, n_chars long, size string, row string, _row string"
@@ -205,3 +206,89 @@ def test_pipeline_survives_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
             docs.collect()
+
+
+def corpus(tmp_path, spark):
+    """Documents with bad texts, lines that many share, copies, and sources of different sizes."""
+    rng = np.random.default_rng(12)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnoprstuvwy"), rng.integers(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(vocabulary, n))
+    banner = "this banner stands on every page of the whole site, word for word"
+    rows = [(i, prose(int(rng.integers(60, 260)))) for i in range(90)]
+    rows = [(i, f"{banner}\n{t}" if i % 4 == 0 else t) for i, t in rows]
+    rows += [(100 + i, rows[i][1] + " with another end") for i in range(0, 40, 2)]
+    rows += [(200 + i, rows[i][1]) for i in range(1, 20, 3)]
+    rows += [(300, "too short"), (301, "again and again " * 60), (302, ""), (303, None), (304, "#$% " * 400)]
+    rows = [(i, t, ["c", "a", "b", "b", "b"][i % 5], "xx", len(t or "")) for i, t in rows]
+    kind = "doc_id long, text string, source string, lang string, n_chars long"
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    return [r[:3] for r in rows]
+
+
+def keep_lines(rows):
+    holders = {}
+    for i, text, _ in rows:
+        for key in {x.strip(common.SPACES).lower() for x in (text or "").split("\n")}:
+            if len(key) >= 40:
+                holders.setdefault(key, []).append(i)
+    last = {k: max(v) for k, v in holders.items() if len(v) >= 5}
+    stays = lambda i, x: last.get(x.strip(common.SPACES).lower(), i) == i
+    return [(i, t and "\n".join(x for x in t.split("\n") if stays(i, x)), s) for i, t, s in rows]
+
+
+def one_of_each_group(rows):
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, first = {i: shingles(t) for i, t, _ in rows}, {i: i for i, _, _ in rows}
+    for _ in rows:  # until no component shrinks
+        for i in sets:
+            for j in sets:
+                both = len(sets[i] & sets[j])
+                if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+                    first[i] = first[j] = min(first[i], first[j])
+        if all(first[first[i]] == first[i] for i in first):
+            break
+    return [r for r in rows if first[r[0]] == r[0]]
+
+
+def mixed(rows):
+    """Texts in the mix: the words that the query's SQL takes of each row, whole texts first."""
+    import duckdb
+    import pandas as pd
+
+    from stationlake.llm.queries import MIXING_SQL
+
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]))
+    taken = {r[0]: r[4] for r in con.sql(MIXING_SQL).fetchall()}
+    out = []
+    for i, text, _ in rows:
+        words = (text or "").split()
+        out += [(i, text)] * (taken[i] // len(words) if words else 1)
+        if words and taken[i] % len(words):
+            found = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", text)
+            out.append((i, "".join(found[: taken[i] % len(words)])))
+    return out
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    import sentencepiece
+    import zstandard
+
+    rows = corpus(tmp_path, spark)
+    bands = quality.Bands()
+    packer = zstandard.ZstdCompressor(level=bands.level, write_content_size=False)
+    good = [r for r in rows if quality.verdict(r[1] or "", bands, packer)[6]]
+    assert 80 < len(good) < len(rows)
+    cleaned = keep_lines(good)
+    assert sum(a[1] != b[1] for a, b in zip(good, cleaned)) > 10
+    single = one_of_each_group(cleaned)
+    assert len(single) < len(cleaned) - 20
+    mix = mixed(single)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    wanted = sorted((i, tuple(model.encode(t or ""))) for i, t in mix)
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, tuple(r.ids)) for r in found) == wanted
+    assert all(r.parity for r in found) and {r.lang for r in found} == {"xx"}

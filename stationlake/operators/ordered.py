@@ -247,7 +247,7 @@ def neighbours(
 
 
 #: Cells a bracket is cut into; a bracket has at most one row more than these per round.
-CELLS = 4096
+CELLS = 65_536
 
 
 def exact_quantiles(

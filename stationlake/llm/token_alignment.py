@@ -1,9 +1,11 @@
 """Alignment of two tokenizers over a corpus, with corpus-wide counts of the token pairs that meet.
 
 Both tokenizers cut the same bytes; where both end a token a group ends, and tokens whose bytes
-overlap are linked.  The first pass counts linked pairs per task.  The distinct pairs get a minimal
-perfect hash, counts become dense vectors indexed by it, and a tree of sums makes one vector of
-each shard.  The second pass aligns the documents again and looks their pairs up, keys verified.
+overlap are linked.  Texts are cut at single spaces, where both tokenizers cut too, and each distinct
+chunk of some megabytes of text is tokenized and aligned once.  The first pass writes the links of
+each document, the second counts linked pairs per task.  The distinct pairs get a minimal perfect
+hash, counts become dense vectors indexed by it, and a tree of sums makes one vector of each shard.
+The third pass looks the pairs of the documents up, keys verified.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ import json
 import os
 import re
 from functools import cached_property, lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +48,19 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A pair is the id of the first tokenizer times this plus that of the second.
 _SHIFT = 1 << 31
 
+#: What is known of a document without the others.
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+
 _LONG_SPACE = re.compile(r"\s{2000}")
 
-#: Tokens aligned at once; arrays of a batch take about a hundred bytes for each.
-ALIGNED_TOKENS = 200_000
+#: Chunks tokenized in one row, in bytes; the second tokenizer takes more time a byte for longer rows.
+ROW_BYTES = 2_000
+
+#: Text whose distinct chunks are looked for at once, in bytes.
+CHUNKED_BYTES = 4_000_000
+
+#: Links counted or looked up at once.
+LINKS_AT_ONCE = 1_000_000
 
 _SAFE_CUT = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -85,6 +98,7 @@ class ByteTokenizer:
         ranks = {bytes(map(alphabet.__getitem__, t)): model["vocab"][t] for t in plain}
         self.backend = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes = sorted(ranks, key=ranks.__getitem__)
+        self.tokens = pa.array(self.bytes, pa.large_binary())
         self.data = data
 
     @cached_property
@@ -125,6 +139,7 @@ class ModelTokenizer:
             else p.replace(SPACE, " ").encode()
             for p, _, kind in model.pieces
         ]
+        self.tokens = pa.array(self.bytes, pa.large_binary())
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.backend.encode(texts, num_threads=1)
@@ -169,35 +184,73 @@ def tokens_of(pair, texts: list[str | None]) -> list[list[list[int]]]:
     return [[ids if ids is not None and other is not None else [] for ids, other in zip(x, y)] for x, y in (out, out[::-1])]
 
 
-def _tokenize(batches, files: tuple[bytes, bytes], carry: list[str]):
-    pair = tokenizers(*files)
-    for whole in batches:
-        for batch in slices(whole, "_text", TOKENIZED_BYTES):
-            found = tokens_of(pair, batch.column("_text").to_pylist())
-            ids = [pa.array(x, pa.list_(pa.int32())) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in carry], *ids], [*carry, "_a", "_b"]
-            )
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array without nulls and where each entry begins, followed by their end."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    begin = np.frombuffer(offsets, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(data or b"", np.uint8)[begin[0] : begin[-1]], begin - begin[0]
+
 
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Which bytes are visible ASCII characters."""
+    return (data > 0x20) & (data < 0x7F)
+
+
+def chunks_of(texts: pa.Array, whole: bool = False) -> tuple[pa.BinaryArray, np.ndarray]:
+    """All texts, none null or empty, with a space before each, cut before spaces that both tokenizers cut at.
+
+    Those are single ones between visible ASCII characters: the pattern of the first begins a new
+    part there, pieces of the second don't reach over one.  The second result is the first chunk of each text,
+    and the number of all.  ``whole`` texts are not cut.
+    """
+    data, begin = _bytes_of(pc.binary_join_element_wise(" ", texts, ""))
+    cut = np.zeros(len(data), bool)
+    if not whole:
+        plain = _plain(data)
+        cut[1:-1] = (data[1:-1] == 0x20) & plain[:-2] & plain[2:]
+    cut[begin[:-1]] = True
+    at = np.r_[np.flatnonzero(cut), len(data)]
+    buffers = [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, buffers), np.searchsorted(at, begin)
+
+
+def _joined_tokens(pair, lengths, chunks: pa.BinaryArray) -> list[pa.ListArray] | None:
+    """Ids of each chunk by both tokenizers, run on all chunks in a row; none if bytes or cuts differ."""
+    data, begin = _bytes_of(chunks)
+    blob = data.tobytes()
+    bounds = begin[np.r_[0, np.flatnonzero(np.diff(begin[:-1] // ROW_BYTES)) + 1, len(chunks)]].tolist()
+    texts = [blob[a + 1 : b].decode() for a, b in zip(bounds, bounds[1:])]
+    out = []
+    for tokenizer, n in zip(pair, lengths):
+        ids = np.fromiter(chain.from_iterable(tokenizer.encode(texts)), np.int32)
+        if not np.array_equal(_bytes_of(tokenizer.tokens.take(pa.array(ids)))[0], data):
+            return None
+        ends = np.cumsum(n[ids])
+        last = np.searchsorted(ends, begin[1:])
+        if (ends[last] != begin[1:]).any():
+            return None
+        out.append(pa.ListArray.from_arrays(pa.array(np.r_[0, last + 1], pa.int32()), pa.array(ids)))
+    return out
 
-def token_slices(batch: pa.RecordBatch, most: int = ALIGNED_TOKENS) -> list[pa.RecordBatch]:
-    """Parts of a batch with about ``most`` tokens each, one row at least."""
-    lengths = [batch.column(c).value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in ("_a", "_b")]
-    part = np.cumsum(lengths[0].astype(np.int64) + lengths[1]) // most
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    return [batch.slice(a, b - a) for a, b in zip([0, *cuts], [*cuts, batch.num_rows])]
 
+def _own_tokens(pair, chunks: pa.BinaryArray) -> list[pa.ListArray]:
+    found = tokens_of(pair, [c[1:].decode() for c in chunks.to_pylist()])
+    return [pa.array(ids, pa.list_(pa.int32())) for ids in found]
 
-def _sliced(batches):
-    return (part for batch in batches if batch.num_rows for part in token_slices(batch))
+
+def _parts(members: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Members in parts of about `TOKENIZED_BYTES`, one at least."""
+    return np.split(members, np.flatnonzero(np.diff(np.cumsum(size[members]) // TOKENIZED_BYTES)) + 1)
 
 
 class Aligned:
-    """Groups and links of the documents of a batch, all in arrays one behind another."""
+    """Groups and links of some texts, all in arrays one behind another; ``columns`` are lists of ids."""
 
-    def __init__(self, batch: pa.RecordBatch, files: tuple[bytes, bytes]):
-        columns = [batch.column(c) for c in ("_a", "_b")]
-        self.docs = batch.num_rows
+    def __init__(self, columns: list[pa.ListArray], files: tuple[bytes, bytes]):
+        self.docs = len(columns[0])
         # slices of list arrays keep the values of the whole
         self.ids = [c.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
         counts = [c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in columns]
@@ -205,45 +258,151 @@ class Aligned:
         self.ends = [np.cumsum(n[i]) for n, i in zip(token_lengths(*files), self.ids)]
         owners = [np.repeat(np.arange(self.docs), c) for c in self.counts]
         # where both end a token; a token of no bytes does not occur
-        self.cuts = np.intersect1d(*self.ends, assume_unique=True)
-        at = np.searchsorted(self.ends[0], self.cuts)
+        near = np.searchsorted(self.ends[0], self.ends[1])
+        both = self.ends[0][near] == self.ends[1]
+        self.cuts, at = self.ends[1][both], near[both]
         self.groups = np.bincount(owners[0][at], minlength=self.docs)
         # each stretch between two ends, of either tokenizer, is one linked pair
-        stops = np.union1d(*self.ends)
+        stops = np.sort(np.concatenate([self.ends[0], self.ends[1][~both]]))
         left, right = (np.searchsorted(e, stops) for e in self.ends)
         self.links = self.ids[0][left] * _SHIFT + self.ids[1][right]
-        self.owner = owners[0][left]
-
-    def per_document(self, values: np.ndarray) -> np.ndarray:
-        """Sums over the links of each document."""
-        sums = np.r_[0, np.cumsum(values.astype(np.int64))]
-        ends = np.cumsum(np.bincount(self.owner, minlength=self.docs))
-        return sums[ends] - sums[np.r_[0, ends[:-1]]]
+        self.n_links = np.bincount(owners[0][left], minlength=self.docs)
 
-    def shown(self, names: list[list[str]]) -> list[str]:
-        """The groups of each document, ``a1,a2|b1;a3|b2``; ``names`` write ids for each ending."""
+    def shown(self, names: pa.LargeStringArray) -> pa.LargeStringArray:
+        """The groups of each text, ``a1,a2|b1;a3|b2;``, written by `_names`."""
         group = [np.searchsorted(self.cuts, e) for e in self.ends]
         sizes = [np.bincount(g, minlength=len(self.cuts)) for g in group]
         before = [np.cumsum(s) - s for s in sizes]
-        out = np.empty(sum(len(i) for i in self.ids), object)
+        out = np.empty(sum(len(i) for i in self.ids), np.int64)
         places = [
             np.arange(len(group[0])) + before[1][group[0]],
             np.arange(len(group[1])) + (before[0] + sizes[0])[group[1]],
         ]
         for side in (0, 1):
             last = np.r_[group[side][1:] != group[side][:-1], True][: len(group[side])]
-            out[places[side]] = names[side][last.astype(np.int64), self.ids[side]]
+            out[places[side]] = 4 * self.ids[side] + 2 * side + last
+        data, begin = _bytes_of(names.take(pa.array(out)))
         ends = np.cumsum(self.counts[0] + self.counts[1])
-        return ["".join(out[a:b])[:-1] for a, b in zip(np.r_[0, ends[:-1]], ends)]
+        buffers = [None, pa.py_buffer(begin[np.r_[0, ends]]), pa.py_buffer(data)]
+        return pa.Array.from_buffers(pa.large_string(), self.docs, buffers)
 
 
 @lru_cache(maxsize=4)
-def _names(sizes: tuple[int, int]) -> list[np.ndarray]:
-    """Decimal ids of either tokenizer, followed by what stands within and at the end of its part."""
-    return [
-        np.array([[f"{i}{mark}" for i in range(n)] for mark in marks], object)
-        for n, marks in zip(sizes, (",|", ",;"))
-    ]
+def _names(size: int) -> pa.LargeStringArray:
+    """Decimal ids of both tokenizers, followed by what stands within and at the end of their part."""
+    return pa.array([f"{i}{mark}" for i in range(size) for mark in ",|,;"], pa.large_string())
+
+
+def _totals(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the values from each bound to the next."""
+    return np.diff(np.r_[0, np.cumsum(values.astype(np.int64))][bounds])
+
+
+class AlignedTexts:
+    """Numbers, written groups and packed links of texts, from those of their distinct chunks."""
+
+    def __init__(self, texts: pa.Array, files: tuple[bytes, bytes], whole: bool = False):
+        pair, lengths = tokenizers(*files), token_lengths(*files)
+        base, kind = packing(*map(len, lengths))
+        names = _names(max(map(len, lengths)))
+        chunks, self.first = chunks_of(texts, whole)
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary
+        data, begin = _bytes_of(distinct)
+        # those that may stand in a row: cuts between them are like cuts of a text
+        plain = _plain(data)
+        free = plain[begin[:-1] + 1] & plain[begin[1:] - 1] & (not whole)
+        runs = [(p, run) for run in (True, False) for p in _parts(np.flatnonzero(free == run), np.diff(begin)) if len(p)]
+        found, shown = [], []
+        for members, run in runs:
+            part = distinct.take(pa.array(members))
+            ids = run and _joined_tokens(pair, lengths, part) or _own_tokens(pair, part)
+            one = Aligned(ids, files)
+            links = (one.links // _SHIFT * base + one.links % _SHIFT).astype(kind)
+            found.append([*one.counts, one.groups, one.n_links, links])
+            shown.append(one.shown(names))
+        *numbers, self.links = (np.concatenate(x) for x in zip(*found))
+        place = np.empty(len(distinct), np.int64)
+        place[np.concatenate([members for members, _ in runs])] = np.arange(len(distinct))
+        self.at = place[coded.indices.to_numpy()]
+        self.numbers = [_totals(x[self.at], self.first) for x in numbers]
+        #: Texts with a chunk that has no tokens, its bytes being changed.
+        self.changed = _totals(numbers[0][self.at] == 0, self.first) > 0
+        self.n_links = numbers[3]
+        self.shown = pa.concat_arrays(shown)
+
+    def digests(self) -> list[str]:
+        data, begin = _bytes_of(self.shown.take(pa.array(self.at)))
+        bounds = begin[self.first].tolist()
+        spans = zip(bounds, bounds[1:])
+        return [hashlib.sha256(data[a : b - 1]).hexdigest() if b > a else "" for a, b in spans]
+
+    def packed_links(self) -> pa.BinaryArray:
+        n = self.n_links[self.at]
+        shift = (np.cumsum(self.n_links) - self.n_links)[self.at] - (np.cumsum(n) - n)
+        links = self.links[np.arange(n.sum()) + np.repeat(shift, n)]
+        ends = np.cumsum(self.numbers[3]) * links.itemsize
+        buffers = [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(links)]
+        return pa.Array.from_buffers(pa.binary(), len(ends), buffers)
+
+
+def packing(first: int, second: int) -> tuple[int, type]:
+    """Links are written as the first id times this plus the second, in numbers of this type."""
+    return second, np.uint32 if first * second < 1 << 32 else np.uint64
+
+
+def _unpacked(links: np.ndarray, base: int) -> np.ndarray:
+    return links.astype(np.int64) // base * _SHIFT + links.astype(np.int64) % base
+
+
+def _rows(batch: pa.RecordBatch, texts: AlignedTexts | None, carry: list[str]) -> pa.RecordBatch:
+    """Numbers, digest and links of the rows of a batch; without ``texts`` they have none."""
+    empty = np.zeros(batch.num_rows, np.int64)
+    numbers = texts.numbers if texts else [empty] * 4
+    digests = texts.digests() if texts else [""] * batch.num_rows
+    links = texts.packed_links() if texts else [b""] * batch.num_rows
+    return pa.RecordBatch.from_arrays(
+        [
+            *[batch.column(c) for c in carry],
+            *[pa.array(x, pa.int64()) for x in numbers],
+            pa.array(digests, pa.string()),
+            pa.array(links, pa.binary()),
+        ],
+        [*carry, *NUMBERS, "groups_sha256", "_links"],
+    )
+
+
+def _align(batches, files: tuple[bytes, bytes], carry: list[str]):
+    for big in batches:
+        for batch in slices(big, "_text", CHUNKED_BYTES):
+            text = batch.column("_text")
+            empty = pc.equal(pc.fill_null(pc.binary_length(text), 0), 0)
+            # the second tokenizer changes the mark, wherever it stands
+            marked = pc.fill_null(pc.match_substring(text, SPACE), False)
+            if (rest := batch.filter(empty)).num_rows:
+                yield _rows(rest, None, carry)
+            if (rest := batch.filter(marked)).num_rows:
+                yield _rows(rest, AlignedTexts(rest.column("_text"), files, whole=True), carry)
+            if (rest := batch.filter(pc.invert(pc.or_(empty, marked)))).num_rows:
+                texts = AlignedTexts(rest.column("_text"), files)
+                changed = pa.array(texts.changed)
+                yield _rows(rest, texts, carry).filter(pc.invert(changed))
+                # whether the bytes are changed is a matter of the whole text
+                if (rest := rest.filter(changed)).num_rows:
+                    yield _rows(rest, AlignedTexts(rest.column("_text"), files, whole=True), carry)
+
+
+def _links_of(batches, kind: type):
+    """Parts of the batches, their links one behind another and where those of each row begin."""
+    width = np.dtype(kind).itemsize
+    for batch in batches:
+        size = pc.binary_length(batch.column("_links")).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // (width * LINKS_AT_ONCE))) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if b > a:
+                part = batch.slice(a, b - a)
+                data, begin = _bytes_of(part.column("_links"))
+                yield part, data.view(kind), begin // width
 
 
 def _by_shard(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
@@ -262,12 +421,12 @@ def _summed(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np
     return distinct, total
 
 
-def _count_pairs(batches, files: tuple[bytes, bytes], most: int):
+def _count_pairs(batches, base: int, kind: type, most: int):
     """Pairs of a task and how many links hold them, by shard, in portions of about ``most``."""
     keys, n, size = [], [], 0
-    for batch in _sliced(batches):
-        distinct, count = np.unique(Aligned(batch, files).links, return_counts=True)
-        keys.append(distinct)
+    for _, links, _ in _links_of(batches, kind):
+        distinct, count = np.unique(links, return_counts=True)
+        keys.append(_unpacked(distinct, base))
         n.append(count)
         size += len(distinct)
         if size > 2 * most:
@@ -344,11 +503,11 @@ def _highest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(most[ids])], ["b", "n"])
 
 
-def pair_counts(tokens: DataFrame, files: tuple[bytes, bytes], task_pairs: int = TASK_PAIRS) -> DataFrame:
+def pair_counts(links: DataFrame, base: int, kind: type, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """One row per shard of the pairs: levels of its hash, keys and counts by index."""
     counted = materialise(
-        tokens.select("_a", "_b").mapInArrow(
-            partial(_count_pairs, files=files, most=task_pairs),
+        links.select("_links").mapInArrow(
+            partial(_count_pairs, base=base, kind=kind, most=task_pairs),
             "shard int, keys array<long>, n array<long>",
         ),
         "pairs",
@@ -380,49 +539,32 @@ def pair_counts(tokens: DataFrame, files: tuple[bytes, bytes], task_pairs: int =
     return materialise(hashed.join(vectors.select("shard", "counts"), "shard"), "counts")
 
 
-def _report(batch: pa.RecordBatch, found: Aligned, carry: list[str], files: tuple[bytes, bytes]):
-    names = _names(tuple(len(x) for x in token_lengths(*files)))
-    digests = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in found.shown(names)]
-    one = np.ones(len(found.links), np.int64)
-    numbers = [*found.counts, found.groups, found.per_document(one)]
-    return (
-        [*[batch.column(c) for c in carry], *[pa.array(x, pa.int64()) for x in numbers]],
-        [*carry, "n_a", "n_b", "n_groups", "n_links"],
-        pa.array(digests, pa.string()),
-    )
-
-
-def _look_up(batches, files: tuple[bytes, bytes], carry: list[str], table):
+def _look_up(batches, base: int, kind: type, carry: list[str], table):
     lookup, stored, counts, best = table.value
-    for batch in _sliced(batches):
-        found = Aligned(batch, files)
-        at = lookup.verified(found.links, stored)
+    for batch, links, begin in _links_of(batches, kind):
+        distinct, which = np.unique(links, return_inverse=True)
+        keys = _unpacked(distinct, base)
+        at = lookup.verified(keys, stored)
         if (at < 0).any():
-            raise ValueError("a pair of the second pass is missing from the table")
+            raise ValueError("a pair of a document is missing from the table")
         n = counts[at]
-        highest = n == best[found.links % _SHIFT]
-        columns, names, digests = _report(batch, found, carry, files)
-        sums = [pa.array(found.per_document(x), pa.int64()) for x in (highest, n)]
+        highest = n == best[keys % _SHIFT]
+        sums = [pa.array(_totals(x[which], begin), pa.int64()) for x in (highest, n)]
         yield pa.RecordBatch.from_arrays(
-            [*columns, *sums, digests], [*names, "n_best", "count_sum", "groups_sha256"]
+            [*[batch.column(c) for c in (*carry, *NUMBERS)], *sums, batch.column("groups_sha256")],
+            [*carry, *NUMBERS, "n_best", "count_sum", "groups_sha256"],
         )
 
 
-def _spread(batches, files: tuple[bytes, bytes], carry: list[str]):
+def _spread(batches, base: int, kind: type, carry: list[str]):
     """Instead of sums, the distinct pairs of each document."""
-    for batch in _sliced(batches):
-        found = Aligned(batch, files)
-        columns, names, digests = _report(batch, found, carry, files)
-        cuts = np.flatnonzero(np.diff(found.owner)) + 1
-        keys = [[]] * batch.num_rows
-        times = [[]] * batch.num_rows
-        for links, owner in zip(np.split(found.links, cuts), np.split(found.owner, cuts)):
-            if len(owner):
-                keys[owner[0]], times[owner[0]] = np.unique(links, return_counts=True)
-        kind = pa.list_(pa.int64())
+    kept = [*carry, *NUMBERS, "groups_sha256"]
+    for batch, links, begin in _links_of(batches, kind):
+        found = [np.unique(links[a:b], return_counts=True) for a, b in zip(begin, begin[1:])]
+        lists = [[_unpacked(k, base) for k, _ in found], [n for _, n in found]]
         yield pa.RecordBatch.from_arrays(
-            [*columns, digests, pa.array(keys, kind), pa.array(times, kind)],
-            [*names, "groups_sha256", "_keys", "_times"],
+            [*[batch.column(c) for c in kept], *[pa.array(x, pa.list_(pa.int64())) for x in lists]],
+            [*kept, "_keys", "_times"],
         )
 
 
@@ -456,7 +598,7 @@ def _joined(spread: DataFrame, counts: DataFrame, highest: DataFrame, names: lis
     )
     return spread.join(sums, "_doc", "left").select(
         *[F.col(f"`{c}`") for c in names],
-        "n_a", "n_b", "n_groups", "n_links",
+        *NUMBERS,
         F.coalesce("_highest", F.lit(0)).cast("long").alias("n_best"),
         F.coalesce("_sum", F.lit(0)).cast("long").alias("count_sum"),
         "groups_sha256",
@@ -483,33 +625,35 @@ def align(
 
     Up to ``table_pairs`` distinct pairs are broadcast; beyond, pairs of documents are joined with them.
     """
-    results = {"n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"}
-    inner = {"_text", "_a", "_b", "_doc", "_keys", "_times", "_highest", "_sum"}
+    results = {*NUMBERS, "n_best", "count_sum", "groups_sha256"}
+    inner = {"_text", "_links", "_doc", "_keys", "_times", "_highest", "_sum"}
     carry, ddl = carried(docs, carry, results | inner)
     files = (read_model(byte_file), read_model(model_file))
+    sizes = [len(x) for x in token_lengths(*files)]
+    base, kind = packing(*sizes)
     texts = docs.select(
         *[F.col(f"`{c}`") for c in carry], F.col("text").cast("string").alias("_text")
     )
-    tokens = materialise(
+    numbers = ddl + "".join(f"{c} long, " for c in NUMBERS)
+    links = materialise(
         texts.mapInArrow(
-            partial(_tokenize, files=files, carry=carry), ddl + "_a array<int>, _b array<int>"
+            partial(_align, files=files, carry=carry), numbers + "groups_sha256 string, _links binary"
         ),
-        "tokens",
+        "links",
     )
-    counts = pair_counts(tokens, files, task_pairs)
+    counts = pair_counts(links, base, kind, task_pairs)
     # at most one row per id of the vocabulary
     highest = counts.mapInArrow(_highest, "b long, n long").groupBy("b").agg(F.max("n").alias("n"))
-    numbers = ddl + "n_a long, n_b long, n_groups long, n_links long"
     pairs = counts.agg(F.sum(F.size("stored"))).first()[0] or 0
     if pairs > table_pairs:
-        ddl = numbers + ", groups_sha256 string, _keys array<long>, _times array<long>"
-        spread = tokens.mapInArrow(partial(_spread, files=files, carry=carry), ddl)
+        ddl = numbers + "groups_sha256 string, _keys array<long>, _times array<long>"
+        spread = links.mapInArrow(partial(_spread, base=base, kind=kind, carry=carry), ddl)
         return _joined(spread, counts, highest, carry)
-    best = np.zeros(len(token_lengths(*files)[1]), np.int64)
+    best = np.zeros(sizes[1], np.int64)
     for row in highest.collect():
         best[row["b"]] = row["n"]
     table = _broadcast_table(counts, best)
-    return tokens.mapInArrow(
-        partial(_look_up, files=files, carry=carry, table=table),
-        numbers + ", n_best long, count_sum long, groups_sha256 string",
+    return links.mapInArrow(
+        partial(_look_up, base=base, kind=kind, carry=carry, table=table),
+        numbers + "n_best long, count_sum long, groups_sha256 string",
     )

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stationlake.llm import manifest, perfect_hash, token_alignment, token_counts
@@ -244,6 +245,58 @@ def test_long_texts_are_cut_where_both_tokenizers_cut():
         assert sum(tokenizer.encode(parts), []) == tokenizer.encode([text])[0]
 
 
+def text_batch(texts):
+    columns = [pa.array(range(len(texts))), pa.array(texts, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "_text"])
+
+
+def test_repeated_words_are_tokenized_once(monkeypatch):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("aeinrst") for _ in range(rnd.randint(3, 9))) for _ in range(300)]
+    texts = [" ".join(rnd.choices(words, k=400)) + "." for _ in range(200)]
+    seen = collections.Counter()
+    for kind in (token_alignment.ByteTokenizer, token_alignment.ModelTokenizer):
+
+        def counting(self, rows, encode=kind.encode, name=kind.__name__):
+            seen[name] += sum(map(len, rows))
+            return encode(self, rows)
+
+        monkeypatch.setattr(kind, "encode", counting)
+    files = read_model(token_alignment.BYTE_FILE), read_model(MODEL_FILE)
+    out = list(token_alignment._align([text_batch(texts)], files, ["doc_id"]))
+    assert sum(b.num_rows for b in out) == 200
+    assert all(0 < n < 0.05 * sum(map(len, texts)) for n in seen.values()) and len(seen) == 2
+
+
+@pytest.mark.parametrize("settings", [{}, {"table_pairs": 1}])
+def test_alignment_of_random_texts(spark, model, settings):
+    rnd = random.Random(11)
+    parts = ["a", "th", "e", "Hello", "12", ".", "'s", "'", " ", " ", " ", " ", "  ", "\n", "\t", "\r"]
+    parts += ["é", "e\u0301", "\u0301", "\u4e2d\u6587", "\U0001f600", "\xa0", "\u3000", "\x85", "\x1c", "<s>", "\u200b"]
+    rows = [(i, "".join(rnd.choices(parts, k=rnd.randint(0, 25)))) for i in range(600)]
+    # the mark makes bytes differ: such texts have no tokens, their neighbours keep theirs
+    rows += [(1000 + i, f"some words and{mark} more of them") for i, mark in enumerate(["", "\u2581", "", " \u2581"])]
+    out = token_alignment.align(spark.createDataFrame(rows, DOCS).coalesce(1), ["doc_id"], **settings)
+    assert ordered(out.collect()) == aligned(model, rows)
+
+
+def test_cuts_lie_before_single_spaces_between_visible_characters():
+    texts = ["a b  c", " x", "1 \u00e9 2 3\n 4", "d"]
+    chunks, first = token_alignment.chunks_of(pa.array(texts))
+    whole = [" a", " b  c", "  x", " 1 \u00e9 2", " 3\n 4", " d"]
+    assert [c.decode() for c in chunks.to_pylist()] == whole and first.tolist() == [0, 2, 3, 5, 6]
+    chunks, first = token_alignment.chunks_of(pa.array(texts), whole=True)
+    assert [c.decode() for c in chunks.to_pylist()] == [" " + t for t in texts] and first.tolist() == [0, 1, 2, 3, 4]
+
+
+def test_texts_with_changed_bytes_are_told_apart():
+    files = read_model(token_alignment.BYTE_FILE), read_model(MODEL_FILE)
+    texts = pa.array(["some words here", "some \u2581 words", "more here"])
+    assert token_alignment.AlignedTexts(texts, files).changed.tolist() == [False, True, False]
+    whole = token_alignment.AlignedTexts(texts, files, whole=True)
+    assert (whole.numbers[0] > 0).tolist() == [True, False, True] and whole.digests()[1] == ""
+
+
 # --- hash tree ---
 
 

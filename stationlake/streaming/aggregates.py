@@ -88,6 +88,17 @@ def stream_hourly_aggregate(
     return windowed(df, keys, ts, "1 hour", aggregates, late)
 
 
+def flush_open(closed: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Closed windows of a stream plus those still open, the latter taken from a batch.
+
+    For the end of the data, where the stream reads no markers; with them see `finish`.
+    """
+    there = closed.select(*[F.col(k).alias(f"_closed_{k}") for k in keys])
+    same = [batch[k].eqNullSafe(there[f"_closed_{k}"]) for k in keys]
+    still_open = batch.join(there, same, "left_anti")
+    return closed.unionByName(still_open.select(closed.columns))
+
+
 def with_markers(stream: DataFrame, folder: str, ts: str = "ts") -> DataFrame:
     """The stream and the markers of ``folder``: rows with nothing but a time, see `finish`."""
     spark = stream.sparkSession
